@@ -1,0 +1 @@
+"""Vector tiles on Spark: features in, tile archives and tile analytics out."""

@@ -1,0 +1 @@
+"""Column expressions: projections, curves, tile arithmetic and geometry structs."""

@@ -1,0 +1 @@
+"""Whole jobs: bake layers into an archive, inspect and query archives, answer tile requests."""
