@@ -12,13 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import durable, one_each, small_batches
+from quadweave.llm.common import Forest, durable, one_each, small_batches
+from quadweave.llm.simhash import shingle_hashes
 
 #: Bound of the labelled rows that the examples are drawn from (by hash), and of the index's features.
 MAX_EXAMPLES = 20_000
 MAX_FEATURES = 2048
 #: Labelled rows that the calibration asks for, each without itself.
 MAX_CALIBRATION = 2000
+#: The least log-odds ratio of a feature: words that are only somewhat more frequent in toxic texts say little.
+LEAST_ODDS = 1.5
 #: Examples in a block of the index, and neighbours that vote.
 BLOCK = 64
 NEIGHBOURS = 15
@@ -68,17 +71,30 @@ class Chosen:
 
 
 def pick_features(rows: list[tuple[str, int, int]], n1: int, n0: int, kinds: int, most: int = MAX_FEATURES) -> list[str]:
-    """Features whose log-odds ratio between the labels stands out from what so many features show by chance."""
+    """Features of toxic texts, strongest first, whose log-odds ratio stands out from what so many show by chance."""
     least = max(2.5, np.sqrt(2 * np.log(max(kinds, 200) / 100)))
     scored = []
     for name, a, b in rows:
         odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
         z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-        if abs(z) >= least:
-            scored.append((-abs(z), name))
+        if z >= least and odds >= LEAST_ODDS:
+            scored.append((-z, name))
     return [name for _, name in sorted(scored)[:most]]
 
 
+def one_of_copies(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """(doc_id, label, key, key) -> (doc_id, label) of one row for each label of rows that share a key, directly or not."""
+    forest, seen = Forest(len(rows)), {}
+    for n, (_, _, *keys) in enumerate(rows):
+        for k, key in enumerate(keys):
+            forest.join(n, seen.setdefault((k, key), n))
+    firsts: dict[tuple[int, int], int] = {}
+    for n, (i, y, *_) in enumerate(rows):
+        at = forest.root(n), y
+        firsts[at] = min(i, firsts.get(at, i))
+    return sorted((i, y) for (_, y), i in firsts.items())
+
+
 @dataclass
 class Index:
     """Examples as unit TF-IDF vectors; per feature the postings in example order and each block's greatest weight."""
@@ -87,7 +103,7 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
-    posts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # examples, weights, starts by block
+    posts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # examples, weights, blocks
     top: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     prior: float = 0.1
     empty: float = 0.1
@@ -116,7 +132,7 @@ class Index:
             k = np.array([p[0] for p in own], np.int64)
             w = np.array([p[1] for p in own])
             np.maximum.at(self.top[i], k // BLOCK, w)
-            self.posts.append((k, w, np.searchsorted(k, np.arange(blocks + 1) * BLOCK)))
+            self.posts.append((k, w, k // BLOCK))
         return self
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
@@ -128,25 +144,29 @@ class Index:
             return []
         bound = w @ self.top[at]
         order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        for lo in range(0, len(order), 8):
-            own = order[lo : lo + 8]
-            own = own[bound[own] > 0]
-            if not len(own) or (len(best) == k and bound[own[0]] < -best[-1][0] - 1e-12):
+        order = order[bound[order] > 0]
+        n = len(self.ids)
+        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
+        for lo in range(0, len(order), 32):
+            own = order[lo : lo + 32]
+            if len(best_s) == k and bound[own[0]] < best_s[-1] - 1e-12:
                 break
-            for b in own.tolist():
-                score = np.zeros(BLOCK)
-                for i, x in zip(at.tolist(), w.tolist(), strict=True):
-                    docs, weights, starts = self.posts[i]
-                    lo_, hi_ = starts[b], starts[b + 1]
-                    if lo_ < hi_:
-                        score[docs[lo_:hi_] - b * BLOCK] += x * weights[lo_:hi_]
-                for j in np.flatnonzero(score > 0).tolist():
-                    if b * BLOCK + j != without:
-                        best.append((-score[j], b * BLOCK + j))
-            best.sort()
-            del best[k:]
-        return [(-s, i) for s, i in best]
+            asked = np.zeros(len(bound), bool)
+            asked[own] = True
+            score = np.zeros(n)
+            for i, x in zip(at.tolist(), w.tolist(), strict=True):
+                docs, weights, block = self.posts[i]
+                here = asked[block]
+                score[docs[here]] += x * weights[here]
+            if without >= 0:
+                score[without] = 0
+            found = np.flatnonzero(score > 0)
+            if len(best_s) == k:
+                found = found[score[found] >= best_s[-1]]
+            best_s, best_i = np.concatenate([best_s, score[found]]), np.concatenate([best_i, found])
+            first = np.lexsort((best_i, -best_s))[:k]
+            best_s, best_i = best_s[first], best_i[first]
+        return list(zip(best_s.tolist(), best_i.tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         weights = np.array([s * s for s, _ in found])
@@ -191,7 +211,20 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     texts = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     draw = known.join(texts, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id"))
     draw = draw.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "toxic").limit(max_examples).select("doc_id", "toxic")
-    taken = [(r[0], r[1]) for r in draw.collect()]
+    drawn = F.broadcast(spark.createDataFrame(draw.collect(), "doc_id long, toxic int"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column("text"):
+                h = shingle_hashes(t.as_py(), 5)
+                out.append((h.min(), (h * np.uint64(0x9E3779B97F4A7C15)).min()) if len(h) else (0, 0))
+            k = np.array(out, np.uint64).reshape(len(out), 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(k[:, 0]), pa.array(k[:, 1])], ["doc_id", "toxic", "k1", "k2"])
+
+    # near copies mostly share one of two least shingles; they count once too, or all their words would look toxic
+    keyed = rows.join(drawn, "doc_id").select("doc_id", "text", "toxic").mapInArrow(keys, "doc_id long, toxic int, k1 long, k2 long")
+    taken = one_of_copies([tuple(r) for r in keyed.collect()])  # one row for each drawn example
     n = len(taken)
     n1 = sum(y for _, y in taken)
     prior = (n1 + 0.1) / (n + 1)
@@ -212,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     by_feature = durable(by_feature.where("a + b >= 2"))
     kinds = by_feature.count()
     odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n - n1 - F.col("b") + 0.5))
-    best = by_feature.orderBy(F.desc(F.abs(odds) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))), "feature").limit(4 * MAX_FEATURES).collect() if n1 and n > n1 else []
+    best = by_feature.orderBy(F.desc(odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))), "feature").limit(4 * MAX_FEATURES).collect() if n1 and n > n1 else []
     # a text that is there twice under different ids can count more often than the draw has rows
     names = pick_features([(r[0], min(r[1], n1), min(r[2], n - n1)) for r in best], n1, n - n1, kinds)
     chosen = Chosen(names)
