@@ -55,12 +55,12 @@ def drop_props(props, exclude: list[str]) -> Column:
 
 
 def human_bytes(n) -> Column:
-    """Bytes in steps of 1024: three digits at most where they matter, else one decimal."""
+    """Bytes in steps of 1024: three digits at most where they matter, else one decimal; halves go to the even digit."""
     n = _c(n).cast("double")
     out = F.when(n < 1024, F.concat(F.format_string("%.0f", n), F.lit(" B")))
     for i, unit in enumerate(["KB", "MB", "GB", "TB", "PB"], 1):
         v = n / F.lit(1024.0**i)
-        text = F.when(v >= 100, F.format_string("%.0f", v)).otherwise(F.format_string("%.1f", v))
+        text = F.when(v >= 100, F.format_string("%.0f", F.bround(v, 0))).otherwise(F.format_string("%.1f", F.bround(v, 1)))
         out = out.when(v < 1024, F.concat(text, F.lit(f" {unit}"))) if unit != "PB" else out.otherwise(F.concat(text, F.lit(" PB")))
     return out
 

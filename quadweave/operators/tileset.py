@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadweave.functions.curves import tile_id
-from quadweave.functions.mercator import BUFFER, GRID, quantize_x, quantize_y, simplify_tolerance, zigzag
+from quadweave.functions.mercator import BUFFER, EXTENT, GRID, quantize_x, quantize_y, zigzag
 from quadweave.functions.values import PROPS
-from quadweave.operators.fanout import fan_out
-from quadweave.operators.kernels import clip_simplify_clip
+from quadweave.operators.fanout import fan_out, with_bbox
+from quadweave.operators.kernels import Parts, Rect, clip, simplify
 from quadweave.operators.mvt import Layer, coord_tuples, encode_geometry
 
 PIECE = f"layer string, layer_ord int, fid long, z int, x long, y long, type int, commands array<long>, props {PROPS}"
@@ -34,37 +34,105 @@ def compressor(name: str):
     raise ValueError(f"unknown compression {name!r}; known are {', '.join(COMPRESSIONS)}")
 
 
-def tile_pieces(features: DataFrame, min_zoom: int, max_zoom: int, factor: float = 1.0) -> DataFrame:
+#: Zoom at which the parts of a large feature are dealt to other tasks, each of which goes on from one tile.
+DEAL_ZOOM = 6
+SHAPE = f"layer string, layer_ord int, fid long, z int, x long, y long, kind int, parts array<array<array<struct<x:double,y:double>>>>, w double, h double, props {PROPS}"
+
+
+def tile_rect(z: int, x: int, y: int) -> Rect:
+    side = 2 * EXTENT / (1 << z)
+    minx, maxy = -EXTENT + x * side, EXTENT - y * side
+    return minx, maxy - side, minx + side, maxy
+
+
+def grown(rect: Rect) -> Rect:
+    b = (rect[2] - rect[0]) * BUFFER / GRID
+    return rect[0] - b, rect[1] - b, rect[2] + b, rect[3] + b
+
+
+def descend(kind: int, parts: Parts, at: tuple[int, int, int], last: int) -> Iterator[tuple[int, int, int, int, Parts]]:
+    """(z, x, y, kind, parts) of every tile down to zoom `last` that the geometry meets, from one tile on.
+
+    A tile's clip is cut from its parent's, whose buffered square holds it, so tiles that a feature doesn't meet
+    are never looked at and big features cost as much as the tiles that they touch.
+    """
+    todo = [(*at, kind, parts)]
+    while todo:
+        z, x, y, k, p = todo.pop()
+        got = clip(k, p, grown(tile_rect(z, x, y)))
+        if got is None:
+            continue
+        yield z, x, y, *got
+        if z < last:
+            todo += [(z + 1, 2 * x + i, 2 * y + j, *got) for i in (0, 1) for j in (0, 1)]
+
+
+def tile_pieces(features: DataFrame, min_zoom: int, max_zoom: int, factor: float = 1.0, deal_zoom: int = DEAL_ZOOM) -> DataFrame:
     """Projected features (layer, layer_ord, fid, geom, props) -> one row per feature and tile with its commands.
 
-    Single points never leave the JVM; other kinds go through the clip kernel in Arrow batches.
+    Single points never leave the JVM. Other kinds go down the pyramid in Arrow batches, at first to deal_zoom; what
+    they leave in its tiles is dealt anew, so that a feature as large as the world is many tasks' work below it.
     """
-    wide = fan_out(features, min_zoom, max_zoom, factor)
+    wide = fan_out(features.where("geom.kind = 1"), min_zoom, max_zoom, factor)
     w, h = F.col("t.maxx") - F.col("t.minx"), F.col("t.maxy") - F.col("t.miny")
     at = F.col("geom.parts")[0][0][0]
     qx, qy = quantize_x(at["x"], "t.minx", w), quantize_y(at["y"], "t.maxy", h)
-    points = wide.where("geom.kind = 1").select("layer", "layer_ord", "fid", "z", "x", "y", F.lit(1).alias("type"), F.array(F.lit(9).cast("long"), zigzag(qx), zigzag(qy)).alias("commands"), "props")
-    others = wide.where("geom.kind <> 1").select("layer", "layer_ord", "fid", "z", "x", "y", "geom", "props", "t", simplify_tolerance("z", factor).alias("tol"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    points = wide.select("layer", "layer_ord", "fid", "z", "x", "y", F.lit(1).alias("type"), F.array(F.lit(9).cast("long"), zigzag(qx), zigzag(qy)).alias("commands"), "props")
+    size = lambda c: F.col(f"b.max{c}") - F.col(f"b.min{c}")
+    zero = F.lit(0).cast("long")
+    whole = with_bbox(features.where("geom.kind <> 1")).select("layer", "layer_ord", "fid", F.lit(0).alias("z"), zero.alias("x"), zero.alias("y"), F.col("geom.kind").cast("int").alias("kind"), "geom.parts", size("x").alias("w"), size("y").alias("h"), "props")
+    own = ("layer", "layer_ord", "fid")
+
+    def rows_of(b: pa.RecordBatch, top: int) -> Iterator[tuple]:
+        names = ("z", "x", "y", "kind", "parts", "w", "h")
+        for i, (z, x, y, kind, parts, width, height) in enumerate(zip(*[b.column(c).to_pylist() for c in names], strict=True)):
+            for tile in descend(kind, coord_tuples(parts), (z, x, y), top):
+                yield i, z, width, height, tile
+
+    def draw(low: int, top: int, skip_first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[tuple] = []
+                for i, z0, width, height, (z, x, y, kind, parts) in rows_of(b, top):
+                    tol = 2 * EXTENT / (1 << z) / GRID * factor
+                    if z < low or skip_first and z == z0 or ((width > 0 or height > 0) and width < tol and height < tol):
+                        continue
+                    tile = tile_rect(z, x, y)
+                    got = simplify(kind, parts, tol)
+                    got = got and clip(*got, grown(tile))
+                    if got:
+                        kind, cmd = encode_geometry(*got, tile)
+                        if cmd:
+                            out.append((i, z, x, y, kind, cmd))
+                    if len(out) >= 20_000:
+                        yield pack(b, out)
+                        out = []
+                if out:
+                    yield pack(b, out)
+
+        def pack(b: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+            i, z, x, y, kind, cmd = zip(*out, strict=True)
+            at = pa.array(i, pa.int64())
+            cols = [b.column(c).take(at) for c in own]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(z, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(kind, pa.int32()), pa.array(cmd, pa.list_(pa.int64())), b.column("props").take(at)], ["layer", "layer_ord", "fid", "z", "x", "y", "type", "commands", "props"])
+
+        return run
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind_of = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
         for b in batches:
-            keep, kinds, commands = [], [], []
-            for i, (g, t, tol) in enumerate(zip(b.column("geom").to_pylist(), b.column("t").to_pylist(), b.column("tol").to_pylist(), strict=True)):
-                grow = (t["maxx"] - t["minx"]) * BUFFER / GRID
-                rect = (t["minx"] - grow, t["miny"] - grow, t["maxx"] + grow, t["maxy"] + grow)
-                got = clip_simplify_clip(g["kind"], coord_tuples(g["parts"]), rect, tol)
-                if got is None:
-                    continue
-                kind, cmd = encode_geometry(*got, (t["minx"], t["miny"], t["maxx"], t["maxy"]))
-                if cmd:
-                    keep.append(i)
-                    kinds.append(kind)
-                    commands.append(cmd)
-            own = b.take(pa.array(keep, pa.int64()))
-            cols = [own.column(c) for c in ("layer", "layer_ord", "fid", "z", "x", "y")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(kinds, pa.int32()), pa.array(commands, pa.list_(pa.int64())), own.column("props")], ["layer", "layer_ord", "fid", "z", "x", "y", "type", "commands", "props"])
-
-    return points.unionByName(others.mapInArrow(run, PIECE))
+            out = [(i, *t) for i, _, _, _, t in rows_of(b, deal_zoom) if t[0] == deal_zoom]
+            for k in range(0, len(out), 5_000):
+                i, z, x, y, kind, parts = zip(*out[k : k + 5_000], strict=True)
+                at = pa.array(i, pa.int64())
+                shapes = pa.array([[[[{"x": c[0], "y": c[1]} for c in r] for r in p] for p in g] for g in parts], kind_of)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in own], pa.array(z, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(kind, pa.int32()), shapes, b.column("w").take(at), b.column("h").take(at), b.column("props").take(at)], ["layer", "layer_ord", "fid", "z", "x", "y", "kind", "parts", "w", "h", "props"])
+
+    out = points.unionByName(whole.mapInArrow(draw(min_zoom, min(max_zoom, deal_zoom), False), PIECE))
+    if max_zoom > deal_zoom:
+        dealt = whole.mapInArrow(deal, SHAPE).repartition("fid", "x", "y")
+        out = out.unionByName(dealt.mapInArrow(draw(max(min_zoom, deal_zoom + 1), max_zoom, True), PIECE))
+    return out
 
 
 def cap_features(pieces: DataFrame, most: int) -> DataFrame:

@@ -119,10 +119,10 @@ def op_merc_to_tile(spark, sf_dir):
 
 
 @query(f"""WITH t AS (SELECT DISTINCT CAST(c_custkey%12 AS INTEGER) AS z, CAST(c_custkey*7 AS BIGINT) & ((CAST(1 AS BIGINT)<<(c_custkey%12))-1) AS x, CAST(c_custkey*13 AS BIGINT) & ((CAST(1 AS BIGINT)<<(c_custkey%12))-1) AS y FROM customer)
-    SELECT z, x, y, round(-{EXT}+x*(2*{EXT}/pow(2.0,z)),3) AS minx, round({EXT}-y*(2*{EXT}/pow(2.0,z))-(2*{EXT}/pow(2.0,z)),3) AS miny, round(-{EXT}+x*(2*{EXT}/pow(2.0,z))+(2*{EXT}/pow(2.0,z)),3) AS maxx, round({EXT}-y*(2*{EXT}/pow(2.0,z)),3) AS maxy FROM t""")
+    SELECT z, x, y, round(-{EXT}+x*(2*{EXT}/pow(2.0,z)),3)+0.0E0 AS minx, round({EXT}-y*(2*{EXT}/pow(2.0,z))-(2*{EXT}/pow(2.0,z)),3)+0.0E0 AS miny, round(-{EXT}+x*(2*{EXT}/pow(2.0,z))+(2*{EXT}/pow(2.0,z)),3)+0.0E0 AS maxx, round({EXT}-y*(2*{EXT}/pow(2.0,z)),3)+0.0E0 AS maxy FROM t""")
 def op_tile_bbox(spark, sf_dir):
     t = _addresses(spark, sf_dir).withColumn("t", mercator.tile_bbox("z", "x", "y"))
-    return t.select("z", "x", "y", *[F.round(f"t.{c}", 3).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+    return t.select("z", "x", "y", *[(F.round(f"t.{c}", 3) + 0.0).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
 
 
 def _addresses(spark, sf_dir) -> DataFrame:
@@ -590,4 +590,4 @@ def op_archive_inspect(spark, sf_dir):
 def op_bake_lines_polygons(spark, sf_dir):
     """Tiles of lines and polygons through clip, simplify and encode: features and drawn coordinates per tile."""
     rows = line_layer(spark, sf_dir).unionByName(box_layer(spark, sf_dir))
-    return _decoded(_tiles(rows, 0, 5))
+    return _decoded(_tiles(rows, 0, 4))
