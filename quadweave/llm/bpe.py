@@ -26,8 +26,26 @@ SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Up to this length a chunk's agenda is a plain list, which is faster there than a heap.
 SHORT = 40
-#: Chunks that a worker keeps.
-KEPT_CHUNKS = 800_000
+#: Chunks that a worker keeps in each of two generations, and texts that it encodes at a time.
+KEPT_CHUNKS = 120_000
+AT_ONCE = 128
+
+
+class TwoAges(dict):
+    """Recent entries, and behind them those of one generation before: what is asked for again becomes recent."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
 
 
 class Agenda:
@@ -60,7 +78,7 @@ class Agenda:
             self.chunks = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
             self.chunks = re.compile(f"{SPACE}*[{LETTERS}]+|{SPACE}*[^{SPACE}{LETTERS}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept = TwoAges()
 
     def pieces(self, chunk: str) -> list[str]:
         """Merge adjacent symbols in the order of the agenda until no pair is a piece."""
@@ -123,9 +141,9 @@ class Agenda:
         """Ids of whole texts with the end id, checked against the library chunk by chunk."""
         split = [self.chunks.findall(self.lib.normalize(t)) if t else [] for t in texts]
         kept = self.kept
-        new = {c for cs in split for c in cs if c not in kept}
-        if len(kept) + len(new) > KEPT_CHUNKS:
-            kept = self.kept = {c: kept[c] for cs in split for c in cs if c in kept}  # what this batch uses is what is common
+        kept.age(KEPT_CHUNKS)
+        old = kept.old
+        new = {c for cs in split for c in cs if c not in kept and c not in old}
         if new:
             order = list(new)
             made = [self.chunk_ids(c) for c in order]
@@ -165,10 +183,12 @@ def encode_documents(docs: DataFrame, model: str | None = None, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(path)
         words = list(map(str, range(own.lib.get_piece_size())))
-        for b in batches:
-            ids = own.encode([t or "" for t in b.column(1).to_pylist()])
-            back = own.decode(ids)
-            cols = [b.column(0).cast(pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(" ".join(map(words.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())] * keep_ids, schema=schema)
+        for whole in batches:
+            for k in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(k, AT_ONCE)
+                ids = own.encode([t or "" for t in b.column(1).to_pylist()])
+                back = own.decode(ids)
+                cols = [b.column(0).cast(pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(" ".join(map(words.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())] * keep_ids, schema=schema)
 
     return one_each(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids)
