@@ -254,7 +254,8 @@ class Surrogates:
         if parts[0] == "given":
             pool = GIVEN[script, parts[2]]
             if attempt == 0:
-                return pool[k % len(pool)].lower()
+                at = k % len(pool)
+                return pool[(at + (pool[at].lower() == name)) % len(pool)].lower()  # never the name itself
         syl = SYLLABLES[script]
         out = ""
         for _ in range(2 + min(attempt + 1, 6) // 2 + (attempt > 3)):
