@@ -54,7 +54,7 @@ def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     are in the first table only.
     """
     e = F.col(f"`{vec_col}`")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(e, lambda x: x.cast("double")).alias("v"), F.col(f"`{label_col}`").cast("string").alias("label"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), e.alias("v"), F.col(f"`{label_col}`").cast("string").alias("label"))
     v = F.col("v")
     good = v.isNotNull() & F.col("label").isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("grp", F.when(F.col("good"), F.concat_ws("|", "label", F.size("v").cast("string"))))
