@@ -179,5 +179,6 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, text_co
     linked = durable(tree.join(kinds, tree["node"] == kinds["fp"]).select("fp", "root", "least"))
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(roots, "root").select("fp", "component_id")
-    classes = kinds.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written first, so that the last join is a plain one of two tables whose crowded fingerprints can be split
+    classes = durable(kinds.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return by_doc.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
