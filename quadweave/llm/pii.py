@@ -115,7 +115,7 @@ def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
             add(m, "ip")
         for m in _NUMBER.finditer(text):
             digits = re.sub(r"\D", "", m[0])
-            if 13 <= len(digits) <= 19 and digits[0] in "3456":
+            if 13 <= len(digits) <= 19 and digits[0] in "3456" and luhn(digits[:-1]) == int(digits[-1]):
                 add(m, "card")
         for m in _PHONE.finditer(text):
             if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
@@ -244,8 +244,9 @@ class Surrogates:
         if space == "key":
             return value[:4] + self.shaped(value[4:], [digit + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"] * (len(value) - 4), t)
         if space == "secret":
-            if re.fullmatch(r"[0-9a-f]+", value):
-                return self.shaped(value, [digit + "abcdef"] * len(value), t)
+            for hexadecimal in (digit + "abcdef", digit + "ABCDEF"):
+                if all(c in hexadecimal for c in value):
+                    return self.shaped(value, [hexadecimal] * len(value), t)
             return self.shaped(value, self.classes(value), t)
         kind, _, name = value.partition(":")
         parts = kind.split("/")
@@ -322,7 +323,7 @@ def resolve(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
 def pseudonymize(docs: DataFrame, key: bytes = b"quadweave", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """All columns of docs with the text's entities replaced, and pii_count and pii_kinds ("email:1,phone:2").
 
-    Kinds: email, ip, card (check digit kept right or wrong), iban, ssn, phone, key, secret, and names that a title
+    Kinds: email, ip, card (numbers of a card's first and check digit; the new ones have them too), iban, ssn, phone, key, secret, and names that a title
     or "my name is" introduces, with all their later mentions in that text. Null texts stay null, and texts without
     entities stay as they are. Input columns named pii_count or pii_kinds are replaced. Repeated rows give repeated
     results; an empty table gives no rows. The same key gives the same surrogates over one corpus.
