@@ -27,8 +27,8 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Up to this length a chunk's agenda is a plain list, which is faster there than a heap.
 SHORT = 40
 #: Chunks that a worker keeps in each of two generations, and texts that it encodes at a time.
-KEPT_CHUNKS = 120_000
-AT_ONCE = 128
+KEPT_CHUNKS = 300_000
+AT_ONCE = 384
 
 
 class TwoAges(dict):
@@ -143,9 +143,8 @@ class Agenda:
         kept = self.kept
         kept.age(KEPT_CHUNKS)
         old = kept.old
-        new = {c for cs in split for c in cs if c not in kept and c not in old}
-        if new:
-            order = list(new)
+        order = [c for c in set(chain.from_iterable(split)) if c not in kept and c not in old]
+        if order:
             made = [self.chunk_ids(c) for c in order]
             self.check(order, made)
             kept.update(zip(order, made, strict=True))
