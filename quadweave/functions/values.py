@@ -65,6 +65,11 @@ def human_bytes(n) -> Column:
     return out
 
 
+def sniff_compression(data) -> Column:
+    """"gzip" for bytes that start like it, else "none"."""
+    return F.when(F.hex(F.substring(_c(data), 1, 2)) == "1F8B", "gzip").otherwise("none")
+
+
 def parse_bounds(text) -> Column:
     """"w,s,e,n" -> four doubles; anything else is the whole world."""
     parts = F.transform(F.split(_c(text), ","), lambda p: F.trim(p).try_cast("double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadweave.functions.curves import morton_code
 from quadweave.functions.geometry import bbox, coords_of
 from quadweave.functions.mercator import BUFFER, GRID, simplify_tolerance, tile_bbox, tile_side, x_to_tile, y_to_tile
 
@@ -60,3 +61,9 @@ def fan_out(rows: DataFrame, min_zoom: int, max_zoom: int, factor: float = 1.0,
     """
     out = explode_zooms(with_bbox(rows), min_zoom, max_zoom).where(visible(factor))
     return explode_tiles(out, tight).withColumn("t", tile_bbox("z", "x", "y")).where(meets_tile())
+
+
+def sort_by_morton(rows: DataFrame) -> DataFrame:
+    """Projected features in ranges of their Morton key, each sorted by it: neighbours end up in the same partitions."""
+    keyed = with_bbox(rows).withColumn("morton", morton_code("b.minx", "b.miny", "b.maxx", "b.maxy"))
+    return keyed.repartitionByRange("morton", "fid").sortWithinPartitions("morton", "fid")

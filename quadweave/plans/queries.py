@@ -10,7 +10,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadweave.functions import curves, mercator, values
@@ -23,6 +23,7 @@ from quadweave.plans.sample_layers import box_layer, lat_sql, line_layer, lon_sq
 from quadweave.sources.csv_points import csv_rows
 from quadweave.sources.geojson import features_to_rows, geojson_rows, geojsonseq_rows
 from quadweave.sources.pmtiles import read_pmtiles
+from quadweave.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,6 +154,17 @@ def op_morton_code(spark, sf_dir):
     return b.select(F.col("fid").alias("k"), curves.morton_code("b.minx", "b.miny", "b.maxx", "b.maxy").alias("code"))
 
 
+@query(f"WITH {boxes_cte()}, c AS (SELECT k, {_cell_sql('minx', 'maxx')} AS cx, {_cell_sql('miny', 'maxy')} AS cy FROM m), d AS (SELECT k, {_spread_sql('cx')} + 2*{_spread_sql('cy')} AS code FROM c) SELECT k, CAST(row_number() OVER (ORDER BY code, k)-1 AS BIGINT) AS place FROM d")
+def op_morton_sort(spark, sf_dir):
+    """Places along the curve: the curve's 1,024 first cells are counted and added up, then each is ranked on its own."""
+    rows = fanout.sort_by_morton(_flat(box_layer(spark, sf_dir))).select("fid", "morton", F.shiftright("morton", 53).alias("cell"))
+    sizes = rows.groupBy("cell").count()
+    before = F.sum("count").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    base = sizes.select("cell", F.coalesce(before, F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("morton", "fid"))
+    return rows.join(F.broadcast(base), "cell").select(F.col("fid").alias("k"), (F.col("base") + rank - 1).alias("place"))
+
+
 @query(f"SELECT CAST(z AS INTEGER) AS z, round(2*{EXT}/pow(2.0,z)/4096,6) AS tolerance FROM (SELECT unnest(range(0,21)) AS z)")
 def op_tolerance(spark, sf_dir):
     return spark.range(21).select(F.col("id").cast("int").alias("z")).withColumn("tolerance", F.round(mercator.simplify_tolerance("z"), 6))
@@ -501,6 +513,12 @@ def op_tms_flip(spark, sf_dir):
     return _addresses(spark, sf_dir).withColumnRenamed("y", "row").withColumn("y", mercator.flip_row("z", "row"))
 
 
+@query("SELECT event_id AS k, CASE WHEN event_id%3 = 0 THEN 'gzip' ELSE 'none' END AS compression FROM events")
+def op_compression_sniff(spark, sf_dir):
+    head = F.when(F.col("event_id") % 3 == 0, F.unhex(F.lit("1F8B08"))).when(F.col("event_id") % 3 == 1, F.unhex(F.lit("1F")))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), values.sniff_compression(head).alias("compression"))
+
+
 @query("SELECT k, w, e FROM (SELECT c_custkey AS k, CASE c_custkey%3 WHEN 0 THEN c_custkey%90+0.5E0 ELSE -180.0E0 END AS w, CASE c_custkey%3 WHEN 0 THEN c_custkey%90+2.0E0 ELSE 180.0E0 END AS e FROM customer)")
 def op_bounds_parse(spark, sf_dir):
     k = F.col("c_custkey")
@@ -591,3 +609,20 @@ def op_bake_lines_polygons(spark, sf_dir):
     """Tiles of lines and polygons through clip, simplify and encode: features and drawn coordinates per tile."""
     rows = line_layer(spark, sf_dir).unionByName(box_layer(spark, sf_dir))
     return _decoded(_tiles(rows, 0, 4))
+
+
+@query(f"WITH {fan_sql('supplier', 's_suppkey', 0, 3)} SELECT z, x, y, count(*) AS features FROM f GROUP BY z, x, y")
+def op_stream_tiles(spark, sf_dir):
+    """Suppliers as two files of a stream: after the second, touched tiles hold the features of both."""
+    folder = tempfile.mkdtemp(prefix="quadweave-stream-")
+    try:
+        k = F.col("s_suppkey")
+        text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['), F.expr(lon_sql("s_suppkey")).cast("string"), F.lit(","), F.expr(lat_sql("s_suppkey")).cast("string"), F.lit(']},"properties":{"id":'), k.cast("string"), F.lit("}}"))
+        cfg = BakeConfig(layer="supplier", max_zoom=3)
+        for half in (0, 1):
+            table(spark, sf_dir, "supplier").where(k % 2 == half).select(text.alias("value")).write.mode("append").text(f"file://{folder}/in")
+            incremental.start(spark, f"file://{folder}/in", f"file://{folder}/pieces", f"file://{folder}/tiles", f"file://{folder}/checkpoint", cfg).awaitTermination()
+        rows = incremental.current_tiles(spark, f"file://{folder}/tiles").select("z", "x", "y", "features")
+        return spark.createDataFrame(rows.collect(), rows.schema)  # some hundred tiles; the folder goes when this returns
+    finally:
+        shutil.rmtree(folder)

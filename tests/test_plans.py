@@ -198,3 +198,8 @@ def test_stream_touches_only_what_changed(spark, tmp_path):
 
 def test_coord_helper(spark):
     assert tuple(spark.range(1).select(coord(F.lit(1), F.lit(2)).alias("c")).first().c) == (1.0, 2.0)
+
+
+def test_neighbours_share_partitions(spark):
+    ordered = fanout.sort_by_morton(flat(trio(spark).unionByName(cities(spark)))).select("morton", "fid").collect()
+    assert [tuple(r) for r in ordered] == sorted(map(tuple, ordered)) and len(ordered) == 6
