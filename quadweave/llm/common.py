@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     own = sc.getCheckpointDir()
     if own is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quadweave-"))
+        made = tempfile.mkdtemp(prefix="quadweave-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        sc.setCheckpointDir("file://" + made)
         own = sc.getCheckpointDir()
     return own
 
