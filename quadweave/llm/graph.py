@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quadweave.llm.common import durable
 
+#: Links of a round that one task handles; small inputs get few tasks.
+LINKS_PER_TASK = 50_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,8 +33,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, seen = durable(now), None
+    # few links need few tasks: each task of a round writes files of its own, however little is in them
+    tasks = 2 + now.count() // LINKS_PER_TASK
     for _ in range(rounds):
-        now = durable(_small_star(_large_star(now)).distinct())
+        now = durable(_small_star(_large_star(now.coalesce(tasks)).coalesce(tasks)).coalesce(tasks).distinct().coalesce(tasks))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
