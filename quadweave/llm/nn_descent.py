@@ -3,7 +3,8 @@
 A first graph comes from blocks of vectors that are neighbours in the order of random hyperplane signatures. Each
 round joins the neighbours of every node with one another and keeps better ones; lists in which all neighbours are
 links are saturated, and those of their component are enlarged to all of its members, block by block. An audit
-compares probes with every vector and, where links were missed, adds them and starts rounds with longer lists.
+compares probes that no audit asked before with every vector. Missed links are added; below the asked recall they
+enter the graph and rounds go on with longer lists. If the rounds end below it, all vectors are compared in blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import durable, runs, whole_groups
+from quadweave.llm.common import Forest, durable, runs, whole_groups
 from quadweave.llm.graph import components
 
 #: First length of neighbour lists, first orders, rows of a first block, members of a completion block, probes.
@@ -187,10 +188,37 @@ def complete(nodes: DataFrame, stars: DataFrame, threshold: float, block: int =
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, stars: DataFrame, threshold: float, probes: int = PROBES, seed: int = 3) -> tuple[DataFrame, int]:
-    """(missed links (a, b), links seen) of probes against every vector: half of them drawn from nodes with links."""
+def every_link(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): all vectors of a label compared in pairs of blocks; of each pair of blocks a spanning forest of its links."""
+    sizes = nodes.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("nb"))
+    placed = nodes.select("grp", "node", "v").join(sizes, "grp").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    cells = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cells = cells.select("node", "v", F.xxhash64("grp", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "grp")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in whole_groups(batches, "cell"):
+            node, cell = pdf["node"].to_numpy(), pdf["cell"].to_numpy()
+            for lo, hi in zip(*runs(cell), strict=True):
+                for _, own in pdf.iloc[lo:hi].groupby("grp"):  # cells of two labels could share a hash
+                    at = own.index.to_numpy()
+                    u = _unit(_matrix(own["v"]))
+                    i, j = np.nonzero(np.triu(u @ u.T >= threshold, 1))
+                    ties = Forest(len(at))
+                    keep = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if ties.join(x, y)]
+                    a, b = node[at[i[keep]]], node[at[j[keep]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long").distinct()
+
+
+def audit(nodes: DataFrame, stars: DataFrame, threshold: float, probes: int = PROBES, seed: int = 3, asked: DataFrame | None = None) -> tuple[DataFrame, int, DataFrame]:
+    """(missed links (a, b), links seen, probes) of probes against every vector: half of them drawn from nodes with links.
+
+    asked: the probes of earlier audits. They are not drawn again, and their links don't count, as they were added.
+    """
     draw = lambda d: d.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(probes)
-    chosen = draw(nodes).unionByName(draw(nodes.join(stars.select("node"), "node", "left_semi"))).dropDuplicates(["node"]).select("node", "grp", "v").collect()
+    fresh = nodes if asked is None else nodes.join(F.broadcast(asked), "node", "left_anti")
+    chosen = draw(fresh).unionByName(draw(fresh.join(stars.select("node"), "node", "left_semi"))).dropDuplicates(["node"]).select("node", "grp", "v").collect()
     held = nodes.sparkSession.sparkContext.broadcast([(r[0], r[1], np.array(r[2], float) / np.sqrt(np.square(np.array(r[2], float)).sum())) for r in chosen])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +237,12 @@ def audit(nodes: DataFrame, stars: DataFrame, threshold: float, probes: int = PR
                 if len(i):
                     yield _edges(ids[j], node[i], cos[i, j])
 
-    seen = durable(nodes.select("node", "grp", "v").mapInArrow(run, _EDGE))
+    seen = durable(fresh.select("node", "grp", "v").mapInArrow(run, _EDGE))
     a = stars.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     b = stars.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     missed = durable(seen.join(a, "a", "left").join(b, "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b", "cos"))
-    return missed, seen.count()
+    drawn = nodes.sparkSession.createDataFrame([(r[0],) for r in chosen], "node long")
+    return missed, seen.count(), drawn if asked is None else asked.unionByName(drawn)
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, k: int = NEIGHBOURS, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -223,8 +252,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, k: int =
     null, empty, zero or holds null or non-finite components, or whose label is null, link with nothing. Equal
     vectors are one node and count as links of each other. n_links counts the other rows linked directly;
     component_id is the smallest vec_id reachable; kept marks that row. Rows of repeated ids keep their rows.
-    audit_recall is the share of the probes' links that the graph had before the audit's additions. An empty table
-    gives no rows.
+    audit_recall is the share of the last audit's links that the graph had before that audit's additions, and 1 if
+    all vectors were compared in the end. An empty table gives no rows.
     """
     rows, nodes = nodes_of(vectors, id_col, vec_col, label_col)
     start = durable(first_graph(nodes, k))
@@ -232,29 +261,33 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, k: int =
     is_link = F.col("cos") >= threshold
     once = lambda d: d.where(is_link).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = durable(once(start))
-    n_links, recall = links.count(), 1.0
+    n_links, recall, asked, added = links.count(), 1.0, None, None
+    whole = lambda: links if added is None else links.unionByName(added).distinct()
     for n in range(MAX_ROUNDS):
         found = durable(join_round(nodes, graph, k))
         links = durable(links.unionByName(once(found)).distinct())
         now = links.count()
         grown, n_links = now - n_links, now
+        settled = grown <= SETTLED * max(1, now)
+        missed = None
+        if settled or n + 1 == MAX_ROUNDS:
+            stars = durable(components(links))
+            missed, seen, asked = audit(nodes, stars, threshold, seed=3 + n, asked=asked)
+            recall = 1.0 if seen == 0 else 1 - missed.count() / seen
+            # kept apart from the links that the rounds found, or the next audit would count them as found
+            added = once(missed) if added is None else added.unionByName(once(missed))
+            if recall >= RECALL:
+                stars = durable(components(whole()))
+                break
+            k *= 2
         old = graph.select("a", "b", "cos", F.lit(False).alias("was_new"))
-        merged = _best(old.select("a", "b", "cos", F.lit(False).alias("new")).unionByName(found.withColumn("new", F.lit(True))), k).drop("r", "new")
+        more = found
+        if missed is not None:  # missed links are new neighbours of both their ends
+            more = found.unionByName(missed).unionByName(missed.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
+        merged = _best(old.select("a", "b", "cos", F.lit(False).alias("new")).unionByName(more.withColumn("new", F.lit(True))), k).drop("r", "new")
         graph = durable(merged.join(old.select("a", "b", "was_new"), ["a", "b"], "left").select("a", "b", "cos", F.col("was_new").isNull().alias("new")))
-        if n + 1 < MAX_ROUNDS and grown > SETTLED * max(1, now) and n < 1:
-            continue
-        stars = durable(components(links))
-        missed, seen = audit(nodes, stars, threshold)
-        lost = missed.count()
-        recall = 1.0 if seen == 0 else 1 - lost / seen
-        if lost == 0:
-            break
-        links = durable(links.unionByName(once(missed)).distinct())
-        n_links = links.count()
-        stars = durable(components(links))
-        if recall >= RECALL:
-            break
-        k *= 2
+    else:  # the rounds ended below the asked recall
+        stars, recall = durable(components(whole().unionByName(every_link(nodes, threshold)).distinct())), 1.0
     full = complete(nodes, stars, threshold)
     least = stars.join(nodes.select("node", "least"), "node")
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")

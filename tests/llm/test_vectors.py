@@ -90,6 +90,37 @@ def test_no_vectors(spark):
     assert nn_descent.near_duplicate_vectors(table(spark, ODD[:6])).where("n_links > 0").count() == 0
 
 
+def test_audits_ask_other_probes_and_low_recall_ends_in_a_full_comparison(spark, monkeypatch):
+    rows = sample(300)
+    df = table(spark, rows)
+    audits, audit, nothing = [], nn_descent.audit, lambda *a, **b: spark.createDataFrame([], "a long, b long, cos double")
+
+    def kept(*a, **b):
+        audits.append(audit(*a, probes=20, **b))
+        return audits[-1]
+
+    # a graph that finds no link: what an audit added must not count as found by the next
+    monkeypatch.setattr(nn_descent, "first_graph", nothing)
+    monkeypatch.setattr(nn_descent, "join_round", nothing)
+    monkeypatch.setattr(nn_descent, "audit", kept)
+    got = nn_descent.near_duplicate_vectors(df).collect()
+    assert len(audits) == nn_descent.MAX_ROUNDS
+    probes = [r.node for r in audits[-1][2].collect()]
+    assert len(probes) == len(set(probes)) == 20 * nn_descent.MAX_ROUNDS
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == brute_components(rows)
+    assert {r.audit_recall for r in got} == {1.0}
+
+
+def test_rounds_go_on_while_links_are_added(spark, monkeypatch):
+    rounds, join = [], nn_descent.join_round
+    monkeypatch.setattr(nn_descent, "first_graph", lambda nodes, k, first=nn_descent.first_graph: first(nodes, 2, 1, 4))
+    monkeypatch.setattr(nn_descent, "join_round", lambda *a: rounds.append(1) or join(*a))
+    rows = sample(300)
+    got = nn_descent.near_duplicate_vectors(table(spark, rows), k=2).collect()
+    assert len(rounds) > 2
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == brute_components(rows)
+
+
 def brute_top(rows, k, every):
     vs = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
