@@ -99,14 +99,45 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
     return stack[0]
 
 
+def well_formed(raw: str) -> int:
+    """The length of the longest well-formed beginning of a tag's text, found in one pass."""
+    end = depth = 0
+    want_name = True
+    for m in _TOKEN.finditer(raw.lower()):
+        t = m[0]
+        if want_name != (t not in STRENGTH and t != ")"):
+            break
+        if t == ")" and not depth:
+            break
+        depth += (t == "(") - (t == ")")
+        want_name = t in STRENGTH or t == "("
+        if not want_name and not depth:
+            end = m.end()
+    return end
+
+
+def names(postfix: list[str]) -> set[str]:
+    """All licences that a postfix expression names; WITH ties the first name of its right side to those of its left side."""
+    stack: list[tuple[str, set[str]]] = []
+    for t in postfix:
+        if t not in STRENGTH:
+            stack.append((t, {t}))
+            continue
+        (second, b), (first, a) = stack.pop(), stack.pop()
+        if t == "with":
+            stack.append((f"{first}-with-{second}", {f"{n}-with-{second}" for n in a}))
+            continue
+        if len(a) < len(b):
+            a, b = b, a
+        a |= b
+        stack.append((first, a))
+    return stack[0][1]
+
+
 def expression_labels(raw: str) -> set[str]:
     """All licences that a tag's expression names; the longest well-formed beginning counts, as notices go on after it."""
-    tokens = _TOKEN.findall(raw[:2000].lower())
-    for n in range(min(len(tokens), 40), 0, -1):
-        postfix = shunting_yard(" ".join(tokens[:n]))
-        if postfix and sum(t == "and" for t in postfix) <= 12:
-            return {x.strip(".-") for s in evaluate(postfix) for x in s}
-    return set()
+    postfix = shunting_yard(raw[: well_formed(raw)])
+    return {x.strip(".-") for x in names(postfix)} if postfix else set()
 
 
 @lru_cache(maxsize=1)
@@ -147,7 +178,7 @@ def scan(text: str | None) -> tuple:
         for m in _RAW_TAG.finditer((text or "").lower()):
             got = expression_labels(m[1])
             if got:
-                expressions.append(m[1][:200].strip())
+                expressions.append(m[1][: max(200, well_formed(m[1]))].strip())
                 labels |= got
                 certain = 1.0
     score = certain if not labels else min(1.0, certain + 0.02 * (len(labels) - 1))

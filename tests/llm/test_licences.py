@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -31,6 +32,29 @@ def test_expressions():
     assert licences.expression_labels("MIT OR (Apache-2.0 WITH LLVM-exception) */ more words") == {"mit", "apache-2.0-with-llvm-exception"}
 
 
+def test_long_expressions_are_whole():
+    many = [f"licence-{i}" for i in range(3000)]
+    assert licences.expression_labels(" AND ".join(many)) == set(many)
+    assert licences.expression_labels("(" * 60 + "MIT" + ")" * 60 + " OR ISC more words") == {"mit", "isc"}
+    nested = " AND (".join(many) + ")" * (len(many) - 1)
+    assert licences.expression_labels(nested) == set(many)
+    text = "SPDX-License-Identifier: " + " AND ".join(many[:14]) + "\nmore"
+    got = licences.scan(text)
+    assert set(got[5].split(",")) == set(many[:14]) and got[7] == [" and ".join(many[:14])]
+
+
+def test_beginnings_match_trying_all():
+    rng = random.Random(3)
+    for _ in range(3000):
+        tokens = rng.choices(["mit", "isc", "x", "and", "or", "with", "(", ")"], [4, 4, 4, 4, 4, 1, 2, 2], k=rng.randint(1, 12))
+        want = next((p for n in range(len(tokens), 0, -1) if (p := licences.shunting_yard(" ".join(tokens[:n])))), None)
+        got = licences.expression_labels(" ".join(tokens))
+        if want is None or "with" not in want:
+            assert got == ({x for s in licences.evaluate(want) for x in s} if want else set())
+        else:
+            assert got == licences.names(want)
+
+
 def test_documents(odd_docs, no_docs):
     got = licences.scan_licences(odd_docs).collect()
     assert [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got] == [(r.doc_id, *slow(r.text)) for r in odd_docs.collect()]
