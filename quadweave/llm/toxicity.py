@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from quadweave.llm.common import Forest, durable, one_each, small_batches
 from quadweave.llm.simhash import shingle_hashes
 
-#: Bound of the labelled rows that the examples are drawn from (by hash), and of the index's features.
+#: Bound of the labelled rows that the examples are drawn from (by hash).
 MAX_EXAMPLES = 20_000
-MAX_FEATURES = 2048
 #: Labelled rows that the calibration asks for, each without itself.
 MAX_CALIBRATION = 2000
 #: The least log-odds ratio of a feature: words that are only somewhat more frequent in toxic texts say little.
 LEAST_ODDS = 1.5
+#: How far above chance a feature's log-odds ratio must be, in standard errors, however many kinds of features there are.
+LEAST_Z = 2.5
 #: Examples in a block of the index, and neighbours that vote.
 BLOCK = 64
 NEIGHBOURS = 15
@@ -70,16 +71,15 @@ class Chosen:
         return dict(out)
 
 
-def pick_features(rows: list[tuple[str, int, int]], n1: int, n0: int, kinds: int, most: int = MAX_FEATURES) -> list[str]:
-    """Features of toxic texts, strongest first, whose log-odds ratio stands out from what so many show by chance."""
-    least = max(2.5, np.sqrt(2 * np.log(max(kinds, 200) / 100)))
+def pick_features(rows: list[tuple[str, int, int]], n1: int, n0: int) -> list[str]:
+    """All features of toxic texts, strongest first, whose log-odds ratio stands out from chance."""
     scored = []
     for name, a, b in rows:
         odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
         z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-        if z >= least and odds >= LEAST_ODDS:
+        if z >= LEAST_Z and odds >= LEAST_ODDS:
             scored.append((-z, name))
-    return [name for _, name in sorted(scored)[:most]]
+    return [name for _, name in sorted(scored)]
 
 
 def one_of_copies(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
@@ -104,7 +104,7 @@ class Index:
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
     posts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # examples, weights, blocks
-    top: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    tops: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # blocks, their greatest weights
     prior: float = 0.1
     empty: float = 0.1
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
@@ -119,19 +119,18 @@ class Index:
         """examples: (doc_id, label, counts), none empty. Like ones get neighbouring places, so that blocks differ."""
         vectors = [(*self.vector(c), i, y) for i, y, c in examples]
         vectors.sort(key=lambda v: (tuple(v[0][np.argsort(-v[1], kind="stable")][:4].tolist()), v[2], v[3]))
-        n, f = len(vectors), len(self.idf)
+        f = len(self.idf)
         self.ids = np.array([v[2] for v in vectors], np.int64)
         self.labels = np.array([v[3] for v in vectors], np.int8)
-        blocks = -(-n // BLOCK)
         lists: list[list[tuple[int, float]]] = [[] for _ in range(f)]
         for k, (at, w, _, _) in enumerate(vectors):
             for i, x in zip(at.tolist(), w.tolist(), strict=True):
                 lists[i].append((k, x))
-        self.top = np.zeros((f, blocks))
-        for i, own in enumerate(lists):
+        for own in lists:
             k = np.array([p[0] for p in own], np.int64)
             w = np.array([p[1] for p in own])
-            np.maximum.at(self.top[i], k // BLOCK, w)
+            block, at = np.unique(k // BLOCK, return_index=True)
+            self.tops.append((block, np.maximum.reduceat(w, at) if len(at) else w))
             self.posts.append((k, w, k // BLOCK))
         return self
 
@@ -140,9 +139,12 @@ class Index:
 
         Ties go to the smaller place in the index.
         """
-        if not len(at) or not self.top.size:
+        if not len(at) or not len(self.ids):
             return []
-        bound = w @ self.top[at]
+        bound = np.zeros(-(-len(self.ids) // BLOCK))
+        for i, x in zip(at.tolist(), w.tolist(), strict=True):
+            block, most = self.tops[i]
+            bound[block] += x * most
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         n = len(self.ids)
@@ -241,13 +243,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([one[x] for x in own], pa.int64()), pa.array([zero[x] for x in own], pa.int64())], ["feature", "a", "b"])
 
     by_feature = rows.join(sample, "doc_id").select("text", "toxic").mapInArrow(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # the features that stand out are few; the score in SQL orders them so that only those travel to the driver
-    by_feature = durable(by_feature.where("a + b >= 2"))
-    kinds = by_feature.count()
-    odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n - n1 - F.col("b") + 0.5))
-    best = by_feature.orderBy(F.desc(odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))), "feature").limit(4 * MAX_FEATURES).collect() if n1 and n > n1 else []
+    # the features that stand out are chosen in SQL, a little more of them than wanted, so that only those travel to the driver
     # a text that is there twice under different ids can count more often than the draw has rows
-    names = pick_features([(r[0], min(r[1], n1), min(r[2], n - n1)) for r in best], n1, n - n1, kinds)
+    a, b = F.least("a", F.lit(n1)) + 0.5, F.least("b", F.lit(n - n1)) + 0.5
+    odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n - n1 + 1 - b))
+    z = odds / F.sqrt(1 / a + 1 / (n1 + 1 - a) + 1 / b + 1 / (n - n1 + 1 - b))
+    best = by_feature.where((F.col("a") + F.col("b") >= 2) & (z >= LEAST_Z - 1e-6) & (odds >= LEAST_ODDS - 1e-6)).collect() if n1 and n > n1 else []
+    names = pick_features([(r[0], min(r[1], n1), min(r[2], n - n1)) for r in best], n1, n - n1)
     chosen = Chosen(names)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +295,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
     feature, get the rate of labelled examples without features. Without labels of both kinds every score is the
     prior. Rows with a null doc_id are scored and count as not held out. Repeated rows give repeated results; extra
     columns are ignored; an empty table gives no rows. Several labels of one doc_id count as toxic if one is.
-    The broadcast index is bounded by max_examples and MAX_FEATURES.
+    The broadcast index is bounded by max_examples: it holds all features that stand out among them.
     """
     index = fit(docs, labels, text_col, id_col, max_examples)
     held = docs.sparkSession.sparkContext.broadcast(index)

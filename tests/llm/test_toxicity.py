@@ -92,3 +92,16 @@ def test_counts_match_all_features():
     every = toxicity.features(text)
     assert {n: chosen.counts(text).get(i, 0) for n, i in chosen.at.items()} == {n: every.get(n, 0) for n in chosen.at}
     assert chosen.counts(None) == {}
+
+
+def test_no_bound_grows_with_the_kinds_of_features_or_cuts_them(spark):
+    rows = [(f"strong{r}", 40, 1) for r in range(3000)]
+    assert len(toxicity.pick_features(rows, 60, 600)) == len(rows)
+    # a word of 4 toxic examples and of no clean one, beside more than 20,000 kinds of features
+    random.seed(4)
+    vocab = ["".join(random.choices("abcdefghijklmnop", k=9)) for _ in range(8000)]
+    learned = [i for i in range(700) if zlib.crc32(str(i).encode()) % 5]
+    toxic = set(learned[:48])
+    docs = [(i, " ".join(random.choices(vocab, k=60) + ["vexnor"] * (i in learned[:4]))) for i in learned]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in learned], "doc_id long, toxic int")
+    assert "vexnor" in toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels).chosen.at
