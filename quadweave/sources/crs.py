@@ -13,6 +13,8 @@ from quadweave.functions.mercator import x_to_lon, y_to_lat
 from quadweave.functions.values import detect_crs
 
 WGS84 = ("EPSG:4326", "OGC:CRS84", "CRS84")
+#: Bytes of a file in which its coordinate system is looked for.
+CRS_SCAN_BYTES = 65_536
 MERCATOR = ("EPSG:3857", "EPSG:900913", "EPSG:102100")
 
 
@@ -22,10 +24,32 @@ def is_wgs84(code: str) -> bool:
 
 def crs_of_file(spark: SparkSession, path: str) -> str | None:
     """The code that a text file names near its beginning; None means longitude and latitude."""
-    row = spark.read.text(path).limit(200).agg(F.concat_ws("\n", F.collect_list("value")).alias("t")).select(detect_crs("t")).first()
+    row = spark.range(1).select(detect_crs(F.lit(head_of_file(spark, path)))).first()
     return row[0] if row else None
 
 
+def head_of_file(spark: SparkSession, path: str, size: int = CRS_SCAN_BYTES) -> str:
+    """The first bytes of a file, or of the first file of a folder or pattern, unpacked where Spark would unpack it."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    hadoop = jvm.org.apache.hadoop
+    place = hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    shown = lambda found: sorted((x for x in found or [] if not x.getPath().getName().startswith(("_", "."))), key=lambda x: x.getPath().toString())
+    found = shown(fs.globStatus(place))
+    while found and found[0].isDirectory():
+        found = shown(fs.listStatus(found[0].getPath())) + found[1:]
+    if not found:
+        raise FileNotFoundError(path)
+    file = found[0].getPath()
+    stream = fs.open(file)
+    try:
+        codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+        text = stream if codec is None else codec.createInputStream(stream)
+        return bytes(text.readNBytes(size)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
 def to_wgs84(rows: DataFrame, code: str | None) -> DataFrame:
     """Feature rows in the given system -> longitude and latitude."""
     if code is None or is_wgs84(code):

@@ -159,3 +159,16 @@ def test_runs_share_one_entry(spark, tmp_path):
     write_small_archive([(i, b"same") for i in range(1, 5)] + [(9, b"other"), (10, b"same")], path)
     assert [tuple(r) for r in read_directory(spark, path).orderBy("tile_id").collect()] == [(1, 0, 4, 4), (9, 4, 5, 1), (10, 0, 4, 1)]
     assert {r.tile_id: bytes(r.data) for r in read_pmtiles(spark, path).collect()} == {1: b"same", 2: b"same", 3: b"same", 4: b"same", 9: b"other", 10: b"same"}
+
+
+def test_crs_after_many_lines_is_found(spark, tmp_path):
+    from quadweave.sources import crs
+
+    name = '"crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::3857"}}'
+    path = tmp_path / "pretty.geojson"
+    path.write_text('{"type": "FeatureCollection",\n"notes": [\n' + "0,\n" * 500 + "0],\n" + name + ',\n"features": []}')
+    assert crs.crs_of_file(spark, str(path)) == "EPSG:3857"
+    path.write_text('{"notes": "' + "x" * 65_536 + '",\n' + name + "}")
+    assert crs.crs_of_file(spark, str(path)) is None
+    (tmp_path / "empty.geojson").write_text("")
+    assert crs.crs_of_file(spark, str(tmp_path / "empty.geojson")) is None
