@@ -19,7 +19,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quadweave.llm.common import one_each, small_batches, tokenizer_path
+from quadweave.llm.common import one_each, tokenizer_path
 
 SPACE = "▁"
 #: Latin letters, which vocabularies tend not to join with anything else; whether that holds is checked.
@@ -175,7 +175,6 @@ def encode_documents(docs: DataFrame, model: str | None = None, text_col: str =
     Null texts count as empty: the end id only, decoded to nothing. Extra columns are ignored, repeated rows give
     repeated results, an empty table gives no rows. model: path of a merge-type .model file on every worker.
     """
-    small_batches(docs.sparkSession, 1000)
     path = model or tokenizer_path("piece_bpe_32k.model")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * keep_ids)
 

@@ -13,26 +13,28 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: texts can be long, so batches stay small.
-BATCH_ROWS = 2000
+#: Rows of whole texts that are handled at a time.
+BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small; a lower setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
+    """The batches in slices of at most so many rows; Spark bounds the bytes of a batch, this what Python makes of it."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none (local runs)."""
+    """The folder that driver and executors share. One is made only where the session names none and all runs in one
+    process; a cluster without spark.checkpoint.dir is an error, as its machines have no folder in common."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     own = sc.getCheckpointDir()
     if own is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         made = tempfile.mkdtemp(prefix="quadweave-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         sc.setCheckpointDir("file://" + made)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import one_each, small_batches
+from quadweave.llm.common import one_each, slices
 
 #: Base phrases and their labels, as words.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -192,11 +192,10 @@ def scan_licences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     ignored; repeated rows give repeated results; an empty table gives no rows. labels holds base labels, those of
     further notices, and every licence that a well-formed SPDX expression names.
     """
-    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [scan(t.as_py()) for t in b.column(1)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)]], schema=schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import durable, small_batches
+from quadweave.llm.common import durable, slices
 
 #: Second and later draws that are still broadcast.
 MAX_BROADCAST = 100_000
@@ -299,7 +299,7 @@ def resolve(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         makes = Surrogates(key)
-        for b in batches:
+        for b in slices(batches):
             rows = list(zip(*[c.to_pylist() for c in b.columns], strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([makes.draw(*r) for r in rows], pa.string()), b.column(2)], ["space", "value", "surrogate", "attempt"])
 
@@ -328,11 +328,10 @@ def pseudonymize(docs: DataFrame, key: bytes = b"quadweave", text_col: str = "te
     entities stay as they are. Input columns named pii_count or pii_kinds are replaced. Repeated rows give repeated
     results; an empty table gives no rows. The same key gives the same surrogates over one corpus.
     """
-    small_batches(docs.sparkSession)
     docs = docs.drop("pii_count", "pii_kinds")
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             own = {canonical(k, v) for t in b.column(0) for _, _, k, v in find_entities(t.as_py())}
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*sorted(own), strict=True)], ["space", "value"])
@@ -349,7 +348,7 @@ def pseudonymize(docs: DataFrame, key: bytes = b"quadweave", text_col: str = "te
         keyed = lambda d: d.withColumn("_h", F.sha2(F.col(f"`{text_col}`"), 256))
 
         def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 own = {(h, *canonical(k, v)) for t, h in zip(b.column(0), b.column(1).to_pylist(), strict=True) for _, _, k, v in find_entities(t.as_py())}
                 if own:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*sorted(own), strict=True)], ["_h", "space", "value"])
@@ -361,7 +360,7 @@ def pseudonymize(docs: DataFrame, key: bytes = b"quadweave", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         makes, shared = Surrogates(key), held.value
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index(text_col)
             lists = b.column(b.schema.get_field_index("_again")).to_pylist() if not few else None
             texts, counts, kinds = [], [], []

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import Forest, durable, one_each, runs, small_batches, whole_groups
+from quadweave.llm.common import Forest, durable, one_each, runs, slices, whole_groups
 from quadweave.llm.graph import components
 
 BITS = 64
@@ -97,10 +97,9 @@ class BKTree:
 
 def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. Null and blank texts have zero."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(shingle_hashes(t.as_py(), words)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quadweave.llm.common import Forest, durable, one_each, small_batches
+from quadweave.llm.common import Forest, durable, one_each, slices
 from quadweave.llm.simhash import shingle_hashes
 
 #: Bound of the labelled rows that the examples are drawn from (by hash).
@@ -205,7 +206,6 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES) -> Index:
     """Learn the index from rows that are labelled and not held out; document frequencies are over all documents."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     drawn = F.broadcast(spark.createDataFrame(draw.collect(), "doc_id long, toxic int"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column("text"):
                 h = shingle_hashes(t.as_py(), 5)
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, zero = Counter(), Counter()
-        for b in batches:
+        for b in slices(batches):
             for t, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
                 (one if y else zero).update(features(t.as_py()).keys())
         names = [*one.keys(), *(k for k in zero if k not in one)]
@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = Counter(), 0
-        for b in batches:
+        for b in slices(batches):
             out = []
             for i, t, y in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("toxic").to_pylist(), strict=True):
                 got = chosen.counts(t.as_py())
@@ -288,8 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     return out.build(listed).calibrate(listed)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence) of every whole text.
+def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence) of every whole text, and the columns named by keep.
 
     evidence: the nearest labelled examples as (doc_id, cosine, label). Null and empty texts, and texts without any
     feature, get the rate of labelled examples without features. Without labels of both kinds every score is the
@@ -303,13 +303,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for b in batches:
+        for b in slices(batches):
             scores, why = [], []
             for t in b.column(1):
                 s, found = own.score(own.chosen.counts(t.as_py()))
                 scores.append(s)
                 why.append([{"doc_id": int(own.ids[i]), "cosine": c, "toxic": int(own.labels[i])} for c, i in found[:3]])
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array(why, kind)], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array(why, kind), *b.columns[2:]], ["doc_id", "score", "evidence", *keep])
 
-    out = one_each(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id long, cosine double, toxic int>>")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    slim = one_each(docs, id_col, text_col, *keep)
+    schema = StructType.fromDDL("doc_id long, score double, evidence array<struct<doc_id long, cosine double, toxic int>>")
+    out = slim.mapInArrow(run, StructType([*schema.fields, *slim.schema.fields[2:]]))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", *keep)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quadweave.llm.common import one_each, small_batches, tokenizer_path
+from quadweave.llm.common import one_each, slices, tokenizer_path
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -125,12 +125,11 @@ def count_tokens(docs: DataFrame, model: str | None = None, text_col: str = "tex
     results, an empty table gives no rows. model: path of a .model file on every worker, read for its pieces and
     scores.
     """
-    small_batches(docs.sparkSession)
     path = model or tokenizer_path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(path)
-        for b in batches:
+        for b in slices(batches):
             got = [own.text(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.array([g[0] for g in got], np.int64)), pa.array(np.array([g[1] for g in got], np.float64))], ["doc_id", "n_tokens", "score"])
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import durable, shared_dir, small_batches
+from quadweave.llm.common import durable, shared_dir, slices
 
 #: Fixed values of the .warc.zst format.
 DICT_FRAME = 0x184D2A5D
@@ -176,14 +176,13 @@ def assign_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 def write_archives(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
     """Write one record per page into archives under folder; returns their manifest (path, records, bytes)."""
-    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
         done: list[tuple] = []
-        for b in batches:
+        for b in slices(batches, 200):
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 page_id, url, payload, digest, refers_to = row
                 held.append(make_record(page_id, url, payload, refers_to, digest))
