@@ -19,7 +19,7 @@ def test_fit_is_as_near_as_can_be(hist, budget):
     for n, c in hist:
         sums = {s + n * k for s in sums for k in range(c + 1)}
     best = min(abs(s - budget) for s in sums)
-    assert abs(have - budget) <= best + max(lengths)  # the floor of each share is fixed first
+    assert abs(have - budget) <= best + max(lengths)  # shares are fixed first
     if budget >= sum(n * c for n, c in hist):
         assert have == max(sums)
 
@@ -35,12 +35,44 @@ def test_fit_hits_large_budgets_exactly():
         assert all(got[n] <= c for n, c in zip(lengths, counts, strict=True))
 
 
-def test_targets():
-    t = mixing.water_fill([100, 100, 100], [3, 1, 2], 1.5, 2)
-    assert t == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mixing.water_fill([1000, 10, 10], [3, 1, 2], 1.5, 2) == pytest.approx([1490, 20, 20])
-    assert mixing.water_fill([0, 0], [3, 1], 1.5, 2) == [0, 0]
-    assert mixing.water_fill([], [], 1.5, 2) == []
+def water_fill(sizes, weights, share, cap):
+    left, targets, active = share * sum(sizes), [0.0] * len(sizes), list(range(len(sizes)))
+    while active:
+        total = sum(weights[i] for i in active)
+        over = [i for i in active if left * weights[i] / total > cap * sizes[i]]
+        for i in over or active:
+            targets[i] = float(cap * sizes[i]) if over else left * weights[i] / total
+        if not over:
+            break
+        left -= sum(targets[i] for i in over)
+        active = [i for i in active if i not in over]
+    return targets
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [1000, 10, 10], [0, 0], [], [7, 0, 300, 40, 41, 1000, 2, 3]])
+def test_targets(spark, sizes):
+    names = [f"s{i:02d}" for i in range(len(sizes) - 1)] + [None] * bool(sizes)
+    df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, s long")
+    got = {r.source: r.t for r in mixing._targets(df, (3, 1, 2), 1.5, 2).collect()}
+    want = water_fill(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], 1.5, 2)
+    assert [got[n] for n in names] == pytest.approx(want)
+
+
+def test_equal_rows_are_split_exactly(spark):
+    docs = [(None, "w w w", "a")] * 301 + [(5, "x y z", "a")] * 200 + [(i, "q r s", "b") for i in range(9)] + [(6, "one", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    rows = mixing.mix_sources(df).collect()
+    assert len(rows) == len(docs)
+    check(rows, df.collect())
+    again = mixing.mix_sources(df.repartition(3)).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
+
+
+def test_fits_beyond_any_table_size():
+    # lengths whose sums pass 2**24 words, and long documents only
+    lengths = [1_000_003 + 17 * i for i in range(40)]
+    got = mixing.fit_budget(lengths, [3] * 40, sum(lengths) + 12345)
+    assert abs(sum(n * k for n, k in got.items()) - sum(lengths) - 12345) <= 1_000_003 / 2
 
 
 def check(rows, docs):
@@ -49,7 +81,7 @@ def check(rows, docs):
         n = len(re.findall(r"[^\x20\x09-\x0D]+", d.text or ""))
         size.setdefault(d.source, []).append(n)
     order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
-    targets = dict(zip(order, mixing.water_fill([sum(size[s]) for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5, 2), strict=True))
+    targets = dict(zip(order, water_fill([sum(size[s]) for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5, 2), strict=True))
     taken = {}
     for r in rows:
         assert r.source_size == sum(size[r.source]) and r.target == pytest.approx(targets[r.source])
