@@ -17,8 +17,19 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Keep Arrow batches of whole texts small, in the JVM too; a lower setting of the session stays.
+
+    The setting is read when a query runs, not when it is made, so it can't be put back here.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
-    """The batches in slices of at most so many rows; Spark bounds the bytes of a batch, this what Python makes of it."""
+    """The batches in slices of at most so many rows, whatever the session's setting is."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)

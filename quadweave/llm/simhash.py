@@ -3,8 +3,8 @@
 Fingerprints are 64-bit majorities of shingle hashes. Two fingerprints within a small radius agree on at least
 one of radius + 1 blocks of their bits, so fingerprints are dealt into shards by (block, value), and each shard's
 BK-tree is grown and asked inside the task that holds the shard. The trees are not sent through the driver:
-that would collect the fingerprints of all documents. A shard that many fingerprints share is cut once more by
-the blocks of its other bits, which is exact for the same reason.
+that would collect the fingerprints of all documents. A shard that many fingerprints share is cut again by the
+blocks of its other bits, as often as needed, which is exact for the same reason.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import Forest, durable, one_each, runs, slices, whole_groups
+from quadweave.llm.common import Forest, durable, one_each, runs, slices, small_batches, whole_groups
 from quadweave.llm.graph import components
 
 BITS = 64
 #: Rows of one shard from which it is cut into smaller ones.
 HOT_SHARD = 2000
+#: Bits beside those that a shard agrees on, from which on it can't have more than 2 ** SMALL_BITS members.
+SMALL_BITS = 13
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -97,6 +99,7 @@ class BKTree:
 
 def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. Null and blank texts have zero."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -106,40 +109,47 @@ def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", id_col
     return one_each(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def _blocks(bits: list[int], parts: int) -> list[list[int]]:
-    return [list(map(int, x)) for x in np.array_split(np.array(bits), parts)]
+def block_masks(radius: int, levels: int) -> list[list[tuple[int, list[int]]]]:
+    """Per level the (mask of bits that a shard agrees on, bits that are left) of every path of blocks.
 
-
-def _gather(fp, bits: list[int]):
-    """The named bits of a long as one small integer; contiguous bits by one shift and mask."""
-    return F.shiftrightunsigned(fp, bits[0]).bitwiseAND(F.lit((1 << len(bits)) - 1))
+    Path p of a level has the paths p * (radius + 1) + i of the next: block i of its bits that are left.
+    """
+    out = [[(0, list(range(BITS)))]]
+    for _ in range(levels):
+        row = []
+        for mask, rest in out[-1]:
+            for part in np.array_split(np.array(rest), radius + 1):
+                own = set(part.tolist())
+                row.append((mask | sum(1 << x for x in own), [x for x in rest if x not in own]))
+        out.append(row)
+    return out
 
 
 def shard_links(distinct_fps: DataFrame, radius: int, hot: int = HOT_SHARD) -> DataFrame:
-    """Distinct fp -> (a, b) links within the radius: a spanning forest of each shard, so never all pairs of a group."""
-    blocks = _blocks(list(range(BITS)), radius + 1)
-    fp = F.col("fp")
-    first = distinct_fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _gather(fp, b).alias("v")) for i, b in enumerate(blocks)])).alias("s")).select("fp", "s.i", "s.v")
-    crowded = first.groupBy("i", "v").count().where(F.col("count") > hot).select("i", "v", F.lit(True).alias("crowded"))
-    # the map of crowded shards is as small as the input / hot; the planner picks the join by its measured size
-    marked = first.join(crowded, ["i", "v"], "left")
-    plain = marked.where("crowded is null").select("fp", F.xxhash64("i", "v").alias("shard"))
-    cuts = []
-    for i, b in enumerate(blocks):
-        rest = [x for x in range(BITS) if x not in b]
-        runs_of = [r for part in _blocks(rest, radius + 1) for r in [part]]
-        for j, part in enumerate(runs_of):
-            # a part may straddle the removed block: join its contiguous pieces
-            pieces, cur = [], [part[0]]
-            for x in part[1:]:
-                if x == cur[-1] + 1:
-                    cur.append(x)
-                else:
-                    pieces.append(cur)
-                    cur = [x]
-            pieces.append(cur)
-            cuts.append((i, F.xxhash64(F.lit(i), F.col("v"), F.lit(j), *[_gather(fp, p) for p in pieces])))
-    again = marked.where("crowded").select("fp", F.explode(F.filter(F.array(*[F.when(F.col("i") == i, key) for i, key in cuts]), lambda x: x.isNotNull())).alias("shard"))
+    """Distinct fp -> (a, b) links within the radius: a spanning forest of each shard, so never all pairs of a group.
+
+    A crowded shard is cut again by blocks of the bits that its members need not agree on, which is exact for the
+    same reason, until those are so few that a shard can't be large.
+    """
+    ways = radius + 1
+    levels = 1
+    while BITS * (1 - 1 / ways) ** levels > SMALL_BITS and levels < 6:
+        levels += 1
+    paths = block_masks(radius, levels)
+    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
+    level, out = distinct_fps.select("fp", F.lit(0).alias("path")), None
+    for k in range(1, levels + 1):
+        masks = F.array(*[F.lit(signed(mask)).cast("long") for mask, _ in paths[k]])
+        child = level.select("fp", F.explode(F.expr(f"sequence(path * {ways}, path * {ways} + {radius})")).alias("path"))
+        placed = child.withColumn("shard", F.xxhash64(F.lit(k), "path", F.col("fp").bitwiseAND(F.get(masks, F.col("path")))))
+        # as small as the input / hot; the planner picks the join by its measured size
+        crowded = durable(placed.groupBy("shard").count().where(F.col("count") > hot).select("shard")) if k < levels else None
+        last = crowded is None or crowded.isEmpty()
+        plain = (placed if last else placed.join(crowded, "shard", "left_anti")).select("fp", "shard")
+        out = plain if out is None else out.unionByName(plain)
+        if last:
+            break
+        level = durable(placed.join(crowded, "shard", "left_semi").select("fp", "path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pdf in whole_groups(batches, "shard"):
@@ -161,7 +171,7 @@ def shard_links(distinct_fps: DataFrame, radius: int, hot: int = HOT_SHARD) -> D
             if one:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, other)], ["a", "b"])
 
-    return plain.unionByName(again).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+    return out.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -170,7 +180,8 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, text_co
     fingerprint: 16 hex digits. Fingerprints that differ in at most radius bits are linked; component_id is the
     smallest doc_id reachable. Null texts count as empty and blank ones have fingerprint zero, linked like any
     other. Copies share a fingerprint and are never expanded to pairs. Rows with a null doc_id keep their row and
-    are ignored by the minimum (a component of such rows only has a null id). An empty table gives an empty result.
+    are ignored by the minimum (a component of such rows only has a null id). Rows that repeat a doc_id, with the same text or another, keep their
+    rows and link by their own texts. Extra columns are ignored; an empty table gives an empty result.
     """
     by_doc = durable(fingerprints(docs, words, text_col, id_col))
     kinds = durable(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
