@@ -1,7 +1,8 @@
 """PII surrogates: keyed replacements of the same type and format, distinct for distinct values, equal for equal ones.
 
 Values with a format (addresses, numbers, keys) go through a keyed permutation of all values of their format, so
-two of them never meet. Names draw from name lists and syllables and can meet. A check over the distinct entities
+two of them never meet. Names draw from name lists and syllables of their script and can meet; in a script without
+lists they draw from the letters of its block. A check over the distinct entities
 of all documents finds surrogates that two values claim, or that are real values of the corpus; the later claimants
 draw again. The few that do are broadcast if their number is within a bound, and joined to their documents beyond it.
 """
@@ -17,14 +18,20 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import durable, slices
+from quadweave.llm.common import durable, slices, small_batches
 
 #: Second and later draws that are still broadcast.
 MAX_BROADCAST = 100_000
-ROUNDS = 12
+#: Draws after which the job fails. Formats whose values are used up grow long before.
+ROUNDS = 64
+#: Characters up to which a format is permuted; the keyed numbers of a permutation have as many bits as that needs.
+LONG = 40
+#: From this draw on a surrogate leaves its format, which may have too few values, or only the value itself.
+GROW = 2
 
 GIVEN = {
     ("latin", "m"): "Adam Albert Anton Bruno Carl Daniel David Edgar Felix Frank George Henry Hugo Jacob Julian Leo Lucas Martin Oliver Oscar Paul Peter Robert Samuel Simon Thomas Victor Walter William".split(),
@@ -33,29 +40,61 @@ GIVEN = {
     ("cyrillic", "f"): "Алина Вера Галина Дарья Елена Ирина Ксения Лариса Мария Нина Ольга Полина Светлана".split(),
     ("greek", "m"): "Αλέξης Γιώργος Δημήτρης Κώστας Μάριος Νίκος Πέτρος Στέφανος".split(),
     ("greek", "f"): "Άννα Ελένη Ειρήνη Κατερίνα Μαρία Νίκη Σοφία Χριστίνα".split(),
+    ("cjk", "m"): "伟 强 军 磊 洋 勇 杰 涛 健 翔".split(),
+    ("cjk", "f"): "芳 娜 敏 静 丽 艳 娟 霞 美 花".split(),
+    ("arabic", "m"): "أحمد محمود يوسف كريم سامي طارق عمر خالد حسن علي".split(),
+    ("arabic", "f"): "فاطمة ليلى مريم سارة هدى نور أمينة سلمى زينب".split(),
+    ("hebrew", "m"): "דוד יוסף משה אורי יונתן איתן אבנר".split(),
+    ("hebrew", "f"): "שרה רחל מרים נועה תמר יעל חנה".split(),
+    ("devanagari", "m"): "राम अमित विजय सुनील राजेश मोहन अशोक".split(),
+    ("devanagari", "f"): "सीता गीता अनीता सुनीता रेखा पूजा".split(),
+    ("thai", "m"): "สมชาย วิชัย ประเสริฐ สุรชัย อนันต์".split(),
+    ("thai", "f"): "สมหญิง มาลี สุดา วรรณา พรทิพย์".split(),
 }
 SYLLABLES = {
     "latin": "ba be bor car del den dor fal fen gar gen hal han hol jan kel lan ler lin lor mal mar men mor nel nor par pel ran rel rin ros sal ser sol tan tar tel ton var ven vin wal wen".split(),
     "cyrillic": "ба бор ва вол гор да дер ка кол ла лев ма мир на нов па пет ра ром са сер та тор".split(),
     "greek": "βα γα δη κα κο λα λι μα μη να νι πα πε ρα ρι σα σο τα τρι".split(),
+    "cjk": "王 李 张 刘 陈 杨 赵 黄 周 吴 徐 孙 胡 朱 高 林 何 郭 马 罗".split(),
+    "arabic": "با دا را سا شا فا كا لا ما نا بو دو رو سو مي ني لي ري".split(),
+    "hebrew": "בא גא דא הל לב מן נר עמ פז רן שי תל בר גל דן".split(),
+    "devanagari": "का गा ता दा ना पा बा मा रा ला वा सा ही नी मी री".split(),
+    "thai": "กา คา ดา ตา นา บา พา มา รา ลา วา สา นี มี รี ดี".split(),
 }
 ENDS = {("latin", "m"): "o", ("latin", "f"): "a", ("cyrillic", "m"): "ий", ("cyrillic", "f"): "а", ("greek", "m"): "ος", ("greek", "f"): "η"}
 TITLES = {"mr": "m", "mister": "m", "sir": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "mrs": "f", "ms": "f", "miss": "f", "madam": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "dr": "", "prof": "", "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f"}
 
-_WORD = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]*(?:['’-][^\W\d_]+)*"
-_NAME = re.compile(rf"(?<!\w)(?:(?P<title>(?i:{'|'.join(TITLES)}))\.?[ \t]+|(?i:my name is|i am called|name:)[ \t]+)(?P<names>{_WORD}(?:[ \t]+{_WORD}){{0,2}})")
+_LETTER = r"[\p{L}\p{M}\p{N}_]"
+_WORD = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]*(?:['’-][\p{L}\p{M}]+)*"
+_WORDS = regex.compile(_WORD)
+_NAME = regex.compile(rf"(?<!{_LETTER})(?:(?P<title>(?i:{'|'.join(TITLES)}))\.?[ \t]+|(?i:my name is|i am called|name:)[ \t]+)(?P<names>{_WORD}(?:[ \t]+{_WORD}){{0,2}})")
 _CUES = [*TITLES, "my name is", "i am called", "name:"]
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]*\w@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")
 _DIGIT = re.compile(r"\d")
-_IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
-_NUMBER = re.compile(r"(?<![\w.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w]|\.\d)|(?<![\w.])3\d{3}([ -]?)\d{6}\2\d{5}(?!\w)")
-_SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])")
-_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w|\.\d)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])")
+_FOREIGN = re.compile(r"[^\x00-\x7F]")
+_IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])")
+_NUMBER = re.compile(r"(?<![\w.])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![\w]|\.[0-9])|(?<![\w.])3[0-9]{3}([ -]?)[0-9]{6}\2[0-9]{5}(?!\w)")
+_SSN = re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9][0-9]-(?!0000)[0-9]{4}(?![\w-])")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9][0-9](?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_PHONE = re.compile(r"(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?!\w|\.[0-9])|(?<![\w.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![\w-])")
 _KEY = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 _SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?([^\s\"',;]{6,})")
 
 
+def plain_digits(text: str) -> str:
+    """The text with the decimal digits of every script as 0-9, so that numbers are found in any of them."""
+    if not _FOREIGN.search(text) or not any(c > "\x7f" for c in _DIGIT.findall(text)):
+        return text
+    return _DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+
+
+def in_script(mention: str, new: str) -> str:
+    """new with its digits in the script of the mention's."""
+    if mention.isascii() or len(mention) != len(new):
+        return new
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + int(d)) if c > "\x7f" and c.isdecimal() and d in "0123456789" else d for c, d in zip(mention, new, strict=True))
+
+
 def luhn(digits: str) -> int:
     """The check digit behind these digits."""
     total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits)))
@@ -77,8 +116,20 @@ def _cues():
 
 
 def script_of(word: str) -> str:
+    """The script of a word's first letter: one of SYLLABLES, or the number of its block of 128 characters."""
     name = unicodedata.name(word[:1], "LATIN").split()[0].lower()
-    return name if name in SYLLABLES else "latin"
+    return name if name in SYLLABLES else f"u{ord(word[:1]) >> 7:x}"
+
+
+@lru_cache(maxsize=1000)
+def letters_of(script: str) -> tuple[str, ...]:
+    """The syllables of a script; of one without a list the small letters, or letters without case, of its block."""
+    if script in SYLLABLES:
+        return tuple(SYLLABLES[script])
+    start = int(script[1:], 16) << 7
+    block = [chr(c) for c in range(start, start + 128)]
+    own = [c for c in block if unicodedata.category(c) in ("Ll", "Lo") and c.upper().lower() == c]
+    return tuple(own or SYLLABLES["latin"])
 
 
 def _gender(given: str, title: str) -> str:
@@ -86,15 +137,19 @@ def _gender(given: str, title: str) -> str:
         return title
     s = script_of(given)
     for g in "mf":
-        if given.title() in GIVEN[s, g]:
+        if given.title() in GIVEN.get((s, g), ()):
             return g
-    return "f" if given[-1:].lower() in "aeаяαη" else "m"
+    return "f" if given[-1:].lower() in "aeаяαηة" else "m"
 
 
 def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, value) of a text, in order, without overlaps; earlier kinds of the list win."""
+    """(start, end, kind, value) of a text, in order, without overlaps; of those that start at one place the longest wins.
+
+    Digits of any script are read as 0-9 in values.
+    """
     if not text:
         return []
+    text = plain_digits(text)
     found: list[tuple[int, int, str, str]] = []
     add = lambda m, kind, g=0: found.append((*m.span(g), kind, m[g]))
     if "@" in text:
@@ -123,7 +178,7 @@ def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
     if any(True for _ in _cues().iter(text)):
         tokens: dict[str, str] = {}
         for m in _NAME.finditer(text):
-            words = re.findall(_WORD, m["names"])
+            words = _WORDS.findall(m["names"])
             title = TITLES.get((m["title"] or "").lower(), "")
             for i, w in enumerate(words):
                 family = i == len(words) - 1 and (len(words) > 1 or bool(m["title"]))
@@ -131,7 +186,7 @@ def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 tokens.setdefault(w, kind)
         if tokens:
             tokens |= {w.upper(): k for w, k in tokens.items() if w.upper() not in tokens and len(w) > 1}
-            for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(tokens, key=len, reverse=True)))})(?!\w)", text):
+            for m in regex.finditer(rf"(?<!{_LETTER})\L<names>(?!{_LETTER})", text, names=list(tokens)):
                 found.append((*m.span(), tokens[m[0]], m[0]))
     found.sort(key=lambda x: (x[0], -x[1]))
     out, end = [], 0
@@ -163,7 +218,7 @@ class Surrogates:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def number(self, *parts: object) -> int:
-        return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode(), key=self.key, digest_size=16).digest(), "big")
+        return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), key=self.key, digest_size=32).digest(), "big")
 
     def permute(self, x: int, n: int, tweak: str) -> int:
         """A keyed permutation of 0..n-1: an unbalanced Feistel network over a x b >= n, walked until it is back inside."""
@@ -183,7 +238,14 @@ class Surrogates:
                 return x
 
     def shaped(self, value: str, alphabets: list[str], tweak: str) -> str:
-        """Permute all strings whose i-th character is of alphabets[i]; a value outside keeps that character."""
+        """Permute all strings whose i-th character is of alphabets[i].
+
+        Beyond LONG characters each is drawn from its alphabet by a keyed stream instead: there are too many such
+        strings for two to meet by chance, and the check finds them if they did.
+        """
+        if len(value) > LONG:
+            stream = hashlib.shake_256(self.key + f"{tweak}\x1f{value}".encode("utf-8", "surrogatepass")).digest(4 * len(value))
+            return "".join(al[int.from_bytes(stream[4 * i : 4 * i + 4], "big") % len(al)] for i, al in enumerate(alphabets))
         n, x = 1, 0
         for c, al in zip(value, alphabets, strict=True):
             x = x * len(al) + al.index(c)
@@ -200,20 +262,39 @@ class Surrogates:
         lower, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
         return [digit if c in digit else lower if c in lower else lower.upper() if c in lower.upper() else c for c in value]
 
+    @classmethod
+    def fixed(cls, value: str) -> bool:
+        """Whether the value is the only one of its shape."""
+        return all(len(al) == 1 for al in cls.classes(value))
+
+    def token(self, tweak: str, value: str, size: int) -> str:
+        """Keyed letters and digits, for values whose shape is used up."""
+        out = ""
+        while len(out) < size:
+            k = self.number("token", tweak, value, len(out))
+            for _ in range(min(20, size - len(out))):
+                k, i = divmod(k, 36)
+                out += "abcdefghijklmnopqrstuvwxyz0123456789"[i]
+        return out
+
     def draw(self, space: str, value: str, attempt: int = 0) -> str:
         t = f"{space}{attempt}"
         if space == "email":
             local, _, domain = value.rpartition("@")
             name, dot, suffix = domain.rpartition(".")
             flat = local + "@" + name
+            if attempt >= GROW:
+                return self.token(t, value, len(local) + attempt) + "@" + self.shaped(name, self.classes(name), t) + dot + suffix
             return self.shaped(flat, self.classes(flat), t) + dot + suffix
+        if space == "ip" and attempt >= 4 * GROW:  # all like addresses are used up: one of the range for documentation
+            return "2001:db8" + "".join(f":{self.number(t, value) >> 16 * i & 0xFFFF:x}" for i in range(6))
         if space == "ip":
             o = [int(x) for x in value.split(".")]
-            kept = 1 if o[0] in (10, 127) or o[0] == 0 or o[0] > 223 else 2 if o[:2] == [192, 168] else 0
+            kept = 0 if attempt >= 2 * GROW else 1 if o[0] in (10, 127) or o[0] == 0 or o[0] > 223 else 2 if o[:2] == [192, 168] else 0
             bases = [223 if i == 0 else 256 for i in range(kept, 4)]
             n, x = math.prod(bases), 0
             for d, base in zip(o[kept:], bases, strict=True):
-                x = x * base + (d - 1 if base == 223 else d)
+                x = x * base + ((d - 1) % 223 if base == 223 else d)
             x = self.permute(x, n, f"{t}{o[:kept]}")
             out = []
             for base in reversed(bases):
@@ -221,6 +302,8 @@ class Surrogates:
                 out.append(d + 1 if base == 223 else d)
             return ".".join(map(str, o[:kept] + out[::-1]))
         digit = "0123456789"
+        if space in ("ssn", "phone", "key", "card", "iban") and attempt >= 4 * GROW:  # used up: longer by digits
+            return self.draw(space, value, attempt % GROW) + f"{self.number(t, value) % 10 ** attempt:0{attempt}d}"
         if space == "card":
             body = self.shaped(value[:-1], [value[0], *[digit] * (len(value) - 2)], t)
             return body + str((luhn(body) + int(value[-1]) - luhn(value[:-1])) % 10)  # as right or wrong as before
@@ -241,6 +324,8 @@ class Surrogates:
                 return lead + self.shaped(ten, al, t)
             keep = 3 if value.startswith("+") else 1
             return value[:keep] + self.shaped(value[keep:], [digit] * (len(value) - keep), t)
+        if space == "secret" and (attempt >= GROW or self.fixed(value)):
+            return self.token(t, value, len(value) + max(0, attempt - GROW))
         if space == "key":
             return value[:4] + self.shaped(value[4:], [digit + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"] * (len(value) - 4), t)
         if space == "secret":
@@ -252,17 +337,17 @@ class Surrogates:
         parts = kind.split("/")
         script = parts[1]
         k = self.number(space, value, attempt)
-        if parts[0] == "given":
-            pool = GIVEN[script, parts[2]]
+        pool = GIVEN.get((script, parts[2])) if parts[0] == "given" else None
+        if pool:
             if attempt == 0:
                 at = k % len(pool)
                 return pool[(at + (pool[at].lower() == name)) % len(pool)].lower()  # never the name itself
-        syl = SYLLABLES[script]
+        syl = letters_of(script)
         out = ""
-        for _ in range(2 + min(attempt + 1, 6) // 2 + (attempt > 3)):
-            k, i = divmod(k, len(syl))
+        for _ in range(2 + (len(syl[0]) == 1 and script != "cjk") * 2 + (attempt + 1) // 2):
+            k, i = divmod(k or self.number(space, value, attempt, out), len(syl))
             out += syl[i]
-        return out + (ENDS[script, parts[2]] if parts[0] == "given" else "")
+        return out + (ENDS.get((script, parts[2]), "") if parts[0] == "given" else "")
 
     @staticmethod
     def render(mention: str, kind: str, surrogate: str) -> str:
@@ -270,12 +355,12 @@ class Surrogates:
         top = kind.split("/")[0]
         if top in ("card", "iban", "ssn", "phone"):
             fill = iter(surrogate.lstrip("+"))
-            return "".join(next(fill, "") if c.isalnum() else c for c in mention)
+            return in_script(mention, "".join(next(fill, "") if c.isalnum() else c for c in mention)) + "".join(fill)
         if top == "email":
-            return "".join(s.upper() if c.isupper() else s for c, s in zip(mention, surrogate, strict=True)) if len(mention) == len(surrogate) else surrogate
+            return in_script(mention, "".join(s.upper() if c.isupper() else s for c, s in zip(mention, surrogate, strict=True)) if len(mention) == len(surrogate) else surrogate)
         if top in ("given", "family"):
             return surrogate.upper() if mention.isupper() and len(mention) > 1 else surrogate[:1].upper() + surrogate[1:]
-        return surrogate
+        return in_script(mention, surrogate)
 
 
 def replace_entities(text: str | None, makes: Surrogates, again: dict[tuple[str, str], str]) -> tuple[str | None, list[str]]:
@@ -287,7 +372,7 @@ def replace_entities(text: str | None, makes: Surrogates, again: dict[tuple[str,
     for a, b, kind, value in found:
         key = canonical(kind, value)
         s = again.get(key) or makes.draw(*key)
-        out += [text[end:a], makes.render(value, kind, s)]
+        out += [text[end:a], makes.render(text[a:b], kind, s)]
         end = b
     out.append(text[end:])
     return "".join(out), [f[2].split("/")[0] for f in found]
@@ -325,9 +410,12 @@ def pseudonymize(docs: DataFrame, key: bytes = b"quadweave", text_col: str = "te
 
     Kinds: email, ip, card (numbers of a card's first and check digit; the new ones have them too), iban, ssn, phone, key, secret, and names that a title
     or "my name is" introduces, with all their later mentions in that text. Null texts stay null, and texts without
-    entities stay as they are. Input columns named pii_count or pii_kinds are replaced. Repeated rows give repeated
+    entities stay as they are. Digits of other scripts are read as 0-9 and written in their script again. A value that
+    is the only one of its shape (********) becomes letters and digits; where a format's values are used up the
+    surrogate grows. Input columns named pii_count or pii_kinds are replaced. Repeated rows give repeated
     results; an empty table gives no rows. The same key gives the same surrogates over one corpus.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("pii_count", "pii_kinds")
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
