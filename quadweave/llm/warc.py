@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import durable, shared_dir, slices
+from quadweave.llm.common import durable, shared_dir, slices, small_batches
 
 #: Fixed values of the .warc.zst format.
 DICT_FRAME = 0x184D2A5D
@@ -31,6 +31,8 @@ DICT_BYTES = 16 << 10
 TRAIN_BYTES = 2 << 20
 #: Payload bytes after which a task starts its next archive.
 ARCHIVE_BYTES = 64 << 20
+#: Digests of repeated payloads that are broadcast at most; beyond that payloads are shuffled to them.
+MAX_BROADCAST = 200_000
 
 
 def _fs(uri: str):
@@ -44,8 +46,9 @@ def _fs(uri: str):
     return fs.LocalFileSystem(), uri
 
 
-def record_id(page_id: int | None, kind: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{page_id}')}>"
+def record_id(page_id: int | None, digest_hex: str) -> str:
+    """Of a page's id and payload, so that revisits can name it; a page without an id is never named and gets a new one."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest_hex}')}>"
 
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest_hex: str) -> bytes:
@@ -56,7 +59,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id, 'page')}",
+        f"WARC-Record-ID: {record_id(page_id, digest_hex)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -65,7 +68,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, 'page')}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest_hex)}", f"X-Refers-To-Page-ID: {refers_to}"]
     block = http if refers_to is not None else http + payload
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -144,16 +147,15 @@ def decode_archive(stream) -> Iterator[bytes]:
 
 
 def _write(folder: str, name: str, records: list[bytes]) -> tuple[str, int, int]:
-    """Write under a name of this attempt, then rename: a lost or repeated task leaves one whole archive."""
+    """Write under a name of this attempt's own: attempts may hold other rows, and the manifest names those of the one that counts."""
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
-    own, final = f"{base}/.{name}.{uuid.uuid4().hex}", f"{base}/{name}"
+    name = f"{name}-{uuid.uuid4().hex}.warc.zst"
     size = 0
-    with fs.open_output_stream(own, compression=None) as out:
+    with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
         for frame in encode_archive(records):
             out.write(frame)
             size += len(frame)
-    fs.move(own, final)
     return f"{folder.rstrip('/')}/{name}", len(records), size
 
 
@@ -170,12 +172,18 @@ def assign_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     ).withColumn("digest", F.sha1("payload"))
     slim = rows.select("page_id", "digest", F.octet_length("payload").alias("n"))
     keepers = slim.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").select("digest", "keeper")
-    joined = rows.join(keepers, "digest", "left")
+    keepers = durable(keepers)
+    if keepers.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:  # payloads stay where they are
+        joined = rows.join(F.broadcast(keepers), "digest", "left")
+    else:  # small payloads have no keeper, and many of them can be equal
+        large = F.octet_length("payload") >= REVISIT_BYTES
+        joined = rows.where(large).join(keepers, "digest", "left").unionByName(rows.where(~large).withColumn("keeper", F.lit(None).cast("long")))
     return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
     """Write one record per page into archives under folder; returns their manifest (path, records, bytes)."""
+    small_batches(pages.sparkSession, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -188,10 +196,10 @@ def write_archives(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
                 held.append(make_record(page_id, url, payload, refers_to, digest))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
-                    done.append(_write(folder, f"part-{part:06d}-{k:04d}.warc.zst", held))
+                    done.append(_write(folder, f"part-{part:06d}-{k:04d}", held))
                     k, held, size = k + 1, [], 0
         if held:
-            done.append(_write(folder, f"part-{part:06d}-{k:04d}.warc.zst", held))
+            done.append(_write(folder, f"part-{part:06d}-{k:04d}", held))
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["path", "records", "bytes"])
 
@@ -230,6 +238,8 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame, folder: str | None =
     """Write every page as a WARC record, read the archives back, and describe each record.
 
     Null html is an empty payload; null urls are empty; extra columns are ignored; an empty table gives no rows.
+    Rows that repeat a page_id get a record each, with an id of its own unless the payload is the same too; rows
+    with a null page_id are never referred to.
     """
     folder = folder or os.path.join(shared_dir(spark), f"warc-{uuid.uuid4().hex}")
     return read_archives(write_archives(pages, folder), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

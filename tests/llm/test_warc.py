@@ -76,3 +76,25 @@ def test_damage_is_noticed():
     raw = warc.make_record(1, "u", b"hello", None, hashlib.sha1(b"other").hexdigest())
     with pytest.raises(ValueError, match="digest"):
         warc.parse_record(raw)
+
+
+def test_attempts_never_share_a_file(spark, tmp_path):
+    from quadweave.llm import warc
+
+    records = [warc.make_record(i, "u", b"x" * 2000, None, "00" * 20) for i in range(3)]
+    first, again = warc._write(str(tmp_path), "part-0", records), warc._write(str(tmp_path), "part-0", records[:1])
+    assert first[0] != again[0]
+    kept = spark.createDataFrame([first], "path string, records long, bytes long")
+    with open(first[0], "rb") as f:
+        assert sum(1 for _ in warc.decode_archive(f)) == 3 and kept.count() == 1
+
+
+def test_record_ids_tell_rows_apart(spark, monkeypatch):
+    from quadweave.llm import warc
+
+    a, b, none = warc.record_id(1, "aa"), warc.record_id(1, "bb"), warc.record_id(None, "aa")
+    assert len({a, b, none, warc.record_id(None, "aa")}) == 4 and a == warc.record_id(1, "aa")
+    pages = spark.createDataFrame([(i, None, "y" * (10 if i in (2, 4) else 1500)) for i in (1, 2, 3, 4, None, 3)], "page_id long, url string, html string")
+    want = sorted(map(str, warc.assign_records(pages).select("page_id", "digest", "refers_to").collect()))
+    monkeypatch.setattr(warc, "MAX_BROADCAST", 0)
+    assert sorted(map(str, warc.assign_records(pages).select("page_id", "digest", "refers_to").collect())) == want
