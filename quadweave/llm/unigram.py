@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quadweave.llm.common import one_each, slices, tokenizer_path
+from quadweave.llm.common import one_each, slices, small_batches, tokenizer_path
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -52,41 +52,40 @@ class Counter:
         self.kept: dict[str, tuple[int, float, bool, bool]] = {}
 
     def viterbi(self, text: str) -> tuple[int, float, bool, bool]:
-        """(pieces, score, whether the first and the last piece are unknown); unknown runs are one piece, or bytes."""
+        """(pieces, score, whether the first and the last piece are unknown); unknown runs are one piece, or bytes.
+
+        Every place carries the best score of the text before it and that path's number of pieces; no path is kept.
+        """
         n = len(text)
-        best: list[float | None] = [0.0] + [None] * n
-        back: list[int] = [0] * (n + 1)
+        best: list[float] = [0.0] * (n + 1)
+        pieces: list[int] = [0] * (n + 1)
         hits: dict[int, list[tuple[int, float]]] = {}
         for end, hit in self.auto.iter(text):
             hits.setdefault(end + 1, []).append(hit)
         low = self.low
         odd = bytearray(n + 1)  # whether the best piece that ends here is an unknown character
+        lead = bytearray(n + 1)  # whether the first piece of the best path to here is
         for e in range(1, n + 1):
-            score, start, unknown, single = None, 0, 0, False
-            # earlier starts come first, and only a higher score replaces
-            for size, s in sorted(hits.get(e, ()), reverse=True):
-                single |= size == 1
-                before = best[e - size]
-                got = before + s
-                if score is None or got > score:
-                    score, start = got, e - size
+            found, single = hits.get(e), False
+            score = start = None
+            if found is not None:
+                # earlier starts come first, and only a higher score replaces
+                for size, s in sorted(found, reverse=True) if len(found) > 1 else found:
+                    single |= size == 1
+                    got = best[e - size] + s
+                    if score is None or got > score:
+                        score, start = got, e - size
             if not single:
                 got = best[e - 1] + low
                 if score is None or got > score:
-                    score, start, unknown = got, e - 1, 1
-            best[e], back[e], odd[e] = score, start, unknown
-        count, e, later = 0, n, False
-        last = bool(odd[n])
-        first = False
-        while e > 0:
-            first = bool(odd[e])
-            if first:
-                count += len(text[e - 1].encode("utf-8", "surrogatepass")) if self.by_bytes else not later
-            else:
-                count += 1
-            later = first
-            e = back[e]
-        return count, best[n] or 0.0, first, last
+                    before = e - 1
+                    best[e], odd[e] = got, 1
+                    lead[e] = lead[before] if before else 1
+                    pieces[e] = pieces[before] + (len(text[before].encode("utf-8", "surrogatepass")) if self.by_bytes else not odd[before])
+                    continue
+            best[e], pieces[e] = score, pieces[start] + 1
+            lead[e] = lead[start] if start else 0
+        return pieces[n], best[n], bool(lead[n]), bool(odd[n])
 
     def count(self, text: str) -> tuple[int, float]:
         """(pieces, score) of a text whose spaces are already marked."""
@@ -125,6 +124,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, text_col: str = "tex
     results, an empty table gives no rows. model: path of a .model file on every worker, read for its pieces and
     scores.
     """
+    small_batches(docs.sparkSession)
     path = model or tokenizer_path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
