@@ -19,7 +19,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quadweave.llm.common import one_each, tokenizer_path
+from quadweave.llm.common import one_each, small_batches, tokenizer_path
 
 SPACE = "▁"
 #: Latin letters, which vocabularies tend not to join with anything else; whether that holds is checked.
@@ -27,7 +27,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Up to this length a chunk's agenda is a plain list, which is faster there than a heap.
 SHORT = 40
 #: Chunks that a worker keeps in each of two generations, and texts that it encodes at a time.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 250_000
 AT_ONCE = 384
 
 
@@ -72,6 +72,7 @@ class Agenda:
         alone = "".join(re.escape(c) for c in "\t\n\r\x0b\x0c" if not any(c in p for p in self.ids))
         edge = re.compile(f"[{LETTERS}][^{LETTERS}]|[^{LETTERS}][{LETTERS}]")
         self.parted = not (any(SPACE in p.lstrip(SPACE) for p in self.ids) or any(sp.is_unused(i) for i in range(n)))
+        self.alone = self.parted and not any("\n" in p for p in self.ids)
         if not self.parted:
             self.chunks = re.compile("(?s).+")
         elif any(edge.search(p.lstrip(SPACE)) for p in self.ids):
@@ -148,16 +149,21 @@ class Agenda:
             made = [self.chunk_ids(c) for c in order]
             self.check(order, made)
             kept.update(zip(order, made, strict=True))
-        return [[*chain.from_iterable(map(kept.__getitem__, cs)), self.eos] for cs in split]
+        out = [[*chain.from_iterable(map(kept.__getitem__, cs)), self.eos] for cs in split]
+        if not self.alone:  # chunks can't be asked by themselves
+            for t, own, lib in zip(texts, out, self.lib.encode(texts, add_eos=True, num_threads=1), strict=True):
+                if own != lib:
+                    raise ValueError(f"the agenda and the library differ on {t[:80]!r}")
+        return out
 
     def check(self, order: list[str], made: list[tuple[int, ...]]) -> None:
-        """Raise if the library encodes a chunk in another way. A chunk without a leading mark is asked behind a line feed."""
-        if not self.parted or "\n" in self.ids:
-            asked, cut = order, 0
-        else:
-            asked, cut = ["\n" + c for c in order], len(self.lib.encode("\n"))
-        for c, ids, lib in zip(order, made, self.lib.encode(asked, num_threads=1), strict=True):
-            if tuple(lib[cut:]) != ids and cut:
+        """Raise if the library encodes a chunk in another way. Chunks are asked behind a line feed, which no piece holds;
+        where a chunk can't be asked like that, whole texts are compared."""
+        if not self.alone:
+            return
+        cut = len(self.lib.encode("\n"))
+        for c, ids, lib in zip(order, made, self.lib.encode(["\n" + c for c in order], num_threads=1), strict=True):
+            if tuple(lib[cut:]) != ids:
                 raise ValueError(f"the agenda and the library differ on {c!r}: {ids} and {lib[cut:]}")
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -175,6 +181,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, text_col: str =
     Null texts count as empty: the end id only, decoded to nothing. Extra columns are ignored, repeated rows give
     repeated results, an empty table gives no rows. model: path of a merge-type .model file on every worker.
     """
+    small_batches(docs.sparkSession, AT_ONCE)
     path = model or tokenizer_path("piece_bpe_32k.model")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * keep_ids)
 

@@ -105,3 +105,46 @@ def test_counted_documents(odd_docs, no_docs):
     ref = reference(unigram.vocabulary(PATH), byte_fallback=True)
     assert [(r.doc_id, r.n_tokens) for r in got] == [(r.doc_id, len(ref.encode(r.text).ids) if r.text else 0) for r in odd_docs.collect()]
     assert unigram.count_tokens(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("parted", [True, False])
+def test_a_wrong_agenda_is_caught(parted):
+    own = bpe.Agenda(PATH)
+    if not parted:  # as for a vocabulary whose chunks can't be asked alone
+        own.alone, own.chunks = False, bpe.re.compile("(?s).+")
+    texts = ["the quick brown fox", "a\nb", ""]
+    assert own.encode(texts) == own.lib.encode(texts, add_eos=True)
+    own.kept.clear()
+    del own.rank["▁the"], own.rank["the"]
+    with pytest.raises(ValueError, match="differ"):
+        own.encode(["the end", "other"])
+
+
+def test_counts_follow_the_best_path():
+    rng = random.Random(4)
+    vocab = [("▁", -1.0), *{(("".join(rng.choices("abc", k=rng.randint(1, 4)))), -float(rng.randint(1, 9))) for _ in range(30)}]
+    own = unigram.Counter(vocab)
+    for _ in range(300):
+        text = "".join(rng.choices("abcx▁", k=rng.randint(1, 12)))
+
+        def best(end):
+            """(score, pieces, whether the last is unknown) of the first n characters, earliest start on ties."""
+            if end == 0:
+                return 0.0, 0, False
+            out, single = None, False
+            for start in range(end):
+                s = own.known.get(text[start:end])
+                if s is not None:
+                    single |= end - start == 1
+                    b = best(start)
+                    if out is None or b[0] + s > out[0]:
+                        out = b[0] + s, b[1] + 1, False
+            if not single:
+                b = best(end - 1)
+                if out is None or b[0] + own.low > out[0]:
+                    out = b[0] + own.low, b[1] + (not b[2]), True
+            return out
+
+        want = best(len(text))
+        got = own.viterbi(text)
+        assert (got[0], got[3]) == (want[1], want[2]) and got[1] == pytest.approx(want[0])
