@@ -1,4 +1,10 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index."""
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
+
+Every word of the examples is a dimension. Its weight is its inverse document frequency, raised where labelled
+examples show that it leans towards toxic texts, so that such words decide which examples are near. The index keeps
+examples in blocks. Words that many examples have are bounded by their greatest weight in each block; the lists of
+the others are read whole. Blocks are then asked in the order of their bounds until none can hold a nearer example.
+"""
 
 from __future__ import annotations
 
@@ -13,74 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quadweave.llm.common import Forest, durable, one_each, slices
+from quadweave.llm.common import Forest, durable, one_each, slices, small_batches
 from quadweave.llm.simhash import shingle_hashes
 
-#: Bound of the labelled rows that the examples are drawn from (by hash).
-MAX_EXAMPLES = 20_000
-#: Labelled rows that the calibration asks for, each without itself.
-MAX_CALIBRATION = 2000
-#: The least log-odds ratio of a feature: words that are only somewhat more frequent in toxic texts say little.
-LEAST_ODDS = 1.5
-#: How far above chance a feature's log-odds ratio must be, in standard errors, however many kinds of features there are.
-LEAST_Z = 2.5
-#: Examples in a block of the index, and neighbours that vote.
+#: Bound of the labelled texts that examples are drawn from (by hash, half of them of each label as far as there are),
+#: and of the characters of such a text; longer ones are scored like any other, but are no examples.
+MAX_EXAMPLES = 5000
+MAX_EXAMPLE_CHARS = 1 << 16
+#: How much the standard score of a word's log-odds ratio towards toxic examples raises its weight.
+LEAN = 1.0
+#: Share of the examples from which on a word is bounded by blocks.
+FREQUENT = 0.04
+#: Examples in a block of the index, blocks that are asked at first, neighbours that vote, and texts searched at a time.
 BLOCK = 64
+FIRST_BLOCKS = 4
 NEIGHBOURS = 15
+AT_ONCE = 128
 #: Weight of the prior among the votes.
-PRIOR_WEIGHT = 0.25
-#: Lengths of the stems that stand beside whole words.
-STEMS = (4, 6)
+PRIOR_WEIGHT = 0.05
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str | None) -> Counter:
-    """Counts of lower-cased words, and of the first letters of longer words (marked by *)."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    stems: Counter = Counter()
-    for w, n in words.items():
-        for k in STEMS:
-            if len(w) > k:
-                stems[w[:k] + "*"] += n
-    words.update(stems)
-    return words
-
-
-class Chosen:
-    """The features of the index, looked up in whole texts without counting the other words."""
-
-    def __init__(self, names: list[str]):
-        self.at = {n: i for i, n in enumerate(names)}
-        self.words = {n for n in names if not n.endswith("*")}
-        self.stems = {n[:-1] for n in names if n.endswith("*")}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        found = _WORD.findall((text or "").lower())
-        kinds = set(found)
-        words = kinds & self.words
-        stems = [{w for w in kinds if w[:k] in self.stems and len(w) > k} for k in STEMS]
-        wanted = words.union(*stems)
-        if not wanted:
-            return {}
-        out: Counter = Counter()
-        for w, n in Counter(filter(wanted.__contains__, found)).items():
-            if w in words:
-                out[self.at[w]] += n
-            for k, own in zip(STEMS, stems, strict=True):
-                if w in own:
-                    out[self.at[w[:k] + "*"]] += n
-        return dict(out)
-
-
-def pick_features(rows: list[tuple[str, int, int]], n1: int, n0: int) -> list[str]:
-    """All features of toxic texts, strongest first, whose log-odds ratio stands out from chance."""
-    scored = []
-    for name, a, b in rows:
-        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-        if z >= LEAST_Z and odds >= LEAST_ODDS:
-            scored.append((-z, name))
-    return [name for _, name in sorted(scored)]
+def words_of(text: str | None) -> Counter:
+    """Counts of the lower-cased words of a whole text."""
+    return Counter(_WORD.findall((text or "").lower()))
 
 
 def one_of_copies(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
@@ -96,106 +58,184 @@ def one_of_copies(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int]
     return sorted((i, y) for (_, y), i in firsts.items())
 
 
+def term_weights(df: np.ndarray, total: int, toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int, lean: float = LEAN) -> np.ndarray:
+    """Weight of every word: ln((total + 1) / (df + 1)), the more of it the more the word leans towards toxic examples.
+
+    df of total documents have the word; toxic of n1 and clean of n0 examples have it.
+    """
+    idf = np.log((total + 1) / (np.minimum(df, total) + 1))
+    a, b = toxic + 0.5, clean + 0.5
+    a1, b1 = n1 + 1 - a, n0 + 1 - b
+    z = (np.log(a / a1) - np.log(b / b1)) / np.sqrt(1 / a + 1 / a1 + 1 / b + 1 / b1)
+    return idf * (1 + lean * np.maximum(z, 0))
+
+
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors; per feature the postings in example order and each block's greatest weight."""
+    """Examples as unit TF-IDF vectors, in blocks of like ones.
+
+    common holds the weights of the frequent words as a matrix of examples and words, most their greatest in each
+    block; the other words have lists of (example, weight), one after the other, from starts[word] on.
+    """
 
-    chosen: Chosen
-    idf: np.ndarray
+    at: dict[str, int]
+    weight: np.ndarray
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
-    posts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # examples, weights, blocks
-    tops: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # blocks, their greatest weights
+    common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of a word in common, or -1
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    posts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    post_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    share: tuple[float, float] = (1.0, 1.0)  # labelled texts that an example of label 0 and of label 1 stands for
     prior: float = 0.1
     empty: float = 0.1
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in at], float))) * self.idf[at] if len(at) else np.zeros(0)
+    blocks_asked: int = 0
+    blocks_met: int = 0
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, unit weights) of those of the counts that the index knows and that have a weight."""
+        known = [(self.at[w], n) for w, n in counts.items() if w in self.at]
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, n = map(np.array, zip(*known, strict=True))
+        w = (1 + np.log(n)) * self.weight[at]
         size = np.sqrt((w * w).sum())
-        return (at, w / size) if size else (at[:0], w[:0])
+        at, w = at[w > 0], w[w > 0]
+        return (at, w / size) if len(at) else (at, w)
 
-    def build(self, examples: list[tuple[int, int, dict[int, int]]]) -> Index:
-        """examples: (doc_id, label, counts), none empty. Like ones get neighbouring places, so that blocks differ."""
+    def build(self, examples: list[tuple[int, int, dict[str, int]]], frequent: float = FREQUENT) -> Index:
+        """examples: (doc_id, label, counts)."""
         vectors = [(*self.vector(c), i, y) for i, y, c in examples]
-        vectors.sort(key=lambda v: (tuple(v[0][np.argsort(-v[1], kind="stable")][:4].tolist()), v[2], v[3]))
-        f = len(self.idf)
-        self.ids = np.array([v[2] for v in vectors], np.int64)
-        self.labels = np.array([v[3] for v in vectors], np.int8)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(f)]
-        for k, (at, w, _, _) in enumerate(vectors):
-            for i, x in zip(at.tolist(), w.tolist(), strict=True):
-                lists[i].append((k, x))
-        for own in lists:
-            k = np.array([p[0] for p in own], np.int64)
-            w = np.array([p[1] for p in own])
-            block, at = np.unique(k // BLOCK, return_index=True)
-            self.tops.append((block, np.maximum.reduceat(w, at) if len(at) else w))
-            self.posts.append((k, w, k // BLOCK))
+        n, f = len(vectors), len(self.weight)
+        size = np.array([len(v[0]) for v in vectors], np.int64)
+        row = np.repeat(np.arange(n), size)
+        word = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
+        value = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
+        times = np.bincount(word, minlength=f)
+        often = np.flatnonzero(times > max(BLOCK, frequent * n))
+        self.column = np.full(f, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        inside = self.column[word] >= 0
+        common = np.zeros((n, len(often)))
+        common[row[inside], self.column[word[inside]]] = value[inside]
+        order = halves(common, np.arange(n))
+        place = np.argsort(order)
+        self.common = common[order]
+        self.ids = np.array([vectors[k][2] for k in order], np.int64)
+        self.labels = np.array([vectors[k][3] for k in order], np.int8)
+        self.most = np.stack([self.common[k : k + BLOCK].max(0) for k in range(0, n, BLOCK)]) if n else np.zeros((0, len(often)))
+        row, word, value = place[row[~inside]], word[~inside], value[~inside]
+        by_word = np.lexsort((row, word))
+        self.posts, self.post_weights = row[by_word].astype(np.int32), value[by_word]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=f))])
         return self
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine over 0, exactly: blocks in the order of their bounds until none can matter.
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """Of every vector the k examples of greatest cosine over 0, exactly. Ties go to the smaller place in the index.
 
-        Ties go to the smaller place in the index.
+        The blocks of the greatest bounds are asked first, then those whose bound reaches the k-th best so far. A block
+        is read once for all vectors that ask it. without: an example that is left out, for each vector.
         """
-        if not len(at) or not len(self.ids):
-            return []
-        bound = np.zeros(-(-len(self.ids) // BLOCK))
-        for i, x in zip(at.tolist(), w.tolist(), strict=True):
-            block, most = self.tops[i]
-            bound[block] += x * most
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        n = len(self.ids)
-        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-        for lo in range(0, len(order), 32):
-            own = order[lo : lo + 32]
-            if len(best_s) == k and bound[own[0]] < best_s[-1] - 1e-12:
-                break
-            asked = np.zeros(len(bound), bool)
-            asked[own] = True
-            score = np.zeros(n)
-            for i, x in zip(at.tolist(), w.tolist(), strict=True):
-                docs, weights, block = self.posts[i]
-                here = asked[block]
-                score[docs[here]] += x * weights[here]
-            if without >= 0:
-                score[without] = 0
-            found = np.flatnonzero(score > 0)
-            if len(best_s) == k:
-                found = found[score[found] >= best_s[-1]]
-            best_s, best_i = np.concatenate([best_s, score[found]]), np.concatenate([best_i, found])
-            first = np.lexsort((best_i, -best_s))[:k]
-            best_s, best_i = best_s[first], best_i[first]
-        return list(zip(best_s.tolist(), best_i.tolist(), strict=True))
+        n, m = len(self.ids), len(vectors)
+        if not n or not m:
+            return [[] for _ in vectors]
+        blocks = -(-n // BLOCK)
+        score, common = np.zeros((m, n)), np.zeros((m, self.common.shape[1]))
+        for d, (at, w) in enumerate(vectors):
+            column = self.column[at]
+            rare = column < 0
+            common[d, column[~rare]] = w[~rare]
+            lows = self.starts[at[rare]]
+            sizes = self.starts[at[rare] + 1] - lows
+            if sizes.any():
+                read = np.repeat(lows - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                score[d] = np.bincount(self.posts[read], self.post_weights[read] * np.repeat(w[rare], sizes), n)
+        bound = np.maximum.reduceat(score, np.arange(0, n, BLOCK), axis=1) + common @ self.most.T
+        first = np.zeros((m, blocks), bool)
+        np.put_along_axis(first, np.argpartition(-bound, min(FIRST_BLOCKS, blocks) - 1, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        first &= bound > 0
+        whole = np.full((m, n), -1.0)
+
+        def ask(which: np.ndarray) -> None:
+            self.blocks_asked += int(which.sum())
+            for b in np.flatnonzero(which.any(0)):
+                d, own = np.flatnonzero(which[:, b]), slice(b * BLOCK, min(n, (b + 1) * BLOCK))
+                whole[d, own] = score[d, own] + common[d] @ self.common[own].T
+            if without is not None:
+                whole[np.arange(m), without] = -1.0
+
+        ask(first)
+        least = np.partition(whole, max(0, n - k), axis=1)[:, max(0, n - k)]
+        ask(~first & (bound > 0) & (bound >= least[:, None] - 1e-12))
+        self.blocks_met += m * blocks
+        out = []
+        for d in range(m):
+            row = whole[d]
+            found = np.flatnonzero(row >= max(least[d], 1e-300))
+            best = found[np.lexsort((found, -row[found]))[:k]]
+            out.append(list(zip(row[best].tolist(), best.tolist(), strict=True)))
+        return out
 
     def vote(self, found: list[tuple[float, int]]) -> float:
-        weights = np.array([s * s for s, _ in found])
-        said = self.labels[[i for _, i in found]] if found else np.zeros(0)
-        return float((weights @ said + PRIOR_WEIGHT * self.prior) / (weights.sum() + PRIOR_WEIGHT))
-
-    def calibrate(self, examples: list[tuple[int, int, dict[int, int]]]) -> Index:
-        """Isotonic steps from the votes on examples that are left out one at a time."""
+        """The toxic share of the neighbours, by the square of their cosine and by what each stands for."""
+        toxic = total = PRIOR_WEIGHT
+        toxic *= self.prior
+        for s, i in found:
+            y = self.labels[i]
+            got = s * s * self.share[y]
+            total += got
+            toxic += got * y
+        return toxic / total
+
+    def votes(self, examples: list[tuple[int, int, dict[str, int]]]) -> list[tuple[float, int]]:
+        """(vote, label) of examples of the index, each left out in its turn; without those that have no neighbour."""
         place = {(int(i), int(y)): k for k, (i, y) in enumerate(zip(self.ids, self.labels, strict=True))}
-        pairs = sorted((self.vote(self.nearest(*self.vector(c), without=place.get((i, y), -1))), y) for i, y, c in examples[:MAX_CALIBRATION])
+        own = [x for x in examples if x[:2] in place]
+        every = self.nearest([self.vector(c) for *_, c in own], without=[place[i, y] for i, y, _ in own])
+        return [(self.vote(found), y) for found, (_, y, _) in zip(every, own, strict=True) if found]
+
+    def calibrate(self, pairs: list[tuple[float, int]]) -> Index:
+        """Isotonic steps from the votes on all examples."""
         pools: list[list[float]] = []  # votes, labels, rows
-        for v, y in pairs:
-            pools.append([v, float(y), 1.0])
+        for v, y in sorted(pairs):
+            u = self.share[y]
+            pools.append([v * u, y * u, u])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 a = pools.pop()
                 pools[-1] = [p + q for p, q in zip(pools[-1], a, strict=True)]
-        self.steps = (np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + self.prior) / (p[2] + 1) for p in pools]))
+        self.steps = (np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.1 * self.prior) / (p[2] + 0.1) for p in pools]))
         return self
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        """(calibrated score, neighbours); a text without any of the features has the rate of such examples."""
-        found = self.nearest(*self.vector(counts)) if counts else []
-        if not found:
-            return self.empty, []
-        v = self.vote(found)
-        return float(np.interp(v, *self.steps)) if len(self.steps[0]) else v, found
+    def score(self, texts: list[dict[str, int]]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """(calibrated score, neighbours) of every text's counts; one that shares no word with any example has the rate of empty ones."""
+        out = []
+        for found in self.nearest([self.vector(c) for c in texts]):
+            v = self.vote(found)
+            out.append((self.empty if not found else float(np.interp(v, *self.steps)) if len(self.steps[0]) else v, found))
+        return out
+
+
+def halves(rows: np.ndarray, own: np.ndarray, size: int = BLOCK) -> np.ndarray:
+    """The rows' numbers in an order that keeps like ones together: halved along their leading direction down to a block."""
+    done: list[np.ndarray] = []
+    todo = [own]
+    while todo:
+        own = todo.pop()
+        if len(own) <= size or rows.shape[1] == 0:
+            done.append(own)
+            continue
+        part = rows[own] - rows[own].mean(0)
+        d = np.ones(rows.shape[1]) + np.arange(rows.shape[1]) % 7
+        for _ in range(6):
+            d = part.T @ (part @ d)
+            d /= max(float(np.linalg.norm(d)), 1e-300)
+        order = own[np.argsort(part @ d, kind="stable")]
+        cut = -(-len(own) // (2 * size)) * size
+        todo += [order[cut:], order[:cut]]
+    return np.concatenate(done) if done else own
 
 
 def held_out(doc_id) -> F.Column:
@@ -206,96 +246,85 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES) -> Index:
     """Learn the index from rows that are labelled and not held out; document frequencies are over all documents."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    small_batches(spark)
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    # one of each text, so that copies don't count as evidence again; then a bounded draw by hash
-    texts = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    draw = known.join(texts, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    draw = draw.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "toxic").limit(max_examples).select("doc_id", "toxic")
-    drawn = F.broadcast(spark.createDataFrame(draw.collect(), "doc_id long, toxic int"))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic") > 0).cast("int").alias("toxic"))
+    # one of each text, so that copies don't count as evidence again; then a bounded draw of each label by hash
+    texts = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_EXAMPLE_CHARS).select("doc_id", "h")
+    distinct = durable(known.join(texts, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id", "toxic").agg(F.min("h").alias("h")))
+    size = dict(distinct.groupBy("toxic").count().collect())
+    ones = min(size.get(1, 0), max(max_examples // 2, max_examples - size.get(0, 0)))
+    mine = lambda y, most: distinct.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "h").limit(most)
+    drawn = durable(mine(1, ones).unionByName(mine(0, max_examples - ones)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100):
             out = []
-            for t in b.column("text"):
-                h = shingle_hashes(t.as_py(), 5)
-                out.append((h.min(), (h * np.uint64(0x9E3779B97F4A7C15)).min()) if len(h) else (0, 0))
-            k = np.array(out, np.uint64).reshape(len(out), 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(k[:, 0]), pa.array(k[:, 1])], ["doc_id", "toxic", "k1", "k2"])
-
+            for i, h, y, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                s = shingle_hashes(t, 5).view(np.int64)
+                k = (int(s.min()), int((s * np.int64(0x1E3779B97F4A7C15)).min())) if len(s) else (0, 0)
+                c = words_of(t)
+                out.append((i, h, y, *k, list(c), list(c.values())))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "h", "toxic", "k1", "k2", "words", "counts"])
+
+    joined = rows.join(F.broadcast(drawn), ["doc_id", "h"]).select("doc_id", "h", "toxic", "text")
+    made = durable(joined.mapInArrow(read, "doc_id long, h long, toxic int, k1 long, k2 long, words array<string>, counts array<long>").dropDuplicates(["doc_id", "h", "toxic"]))
+    table = made.toArrow()  # one row for each example, bounded by max_examples
+    found = {(i, y): (w, c) for i, y, w, c in zip(*[table[n].to_pylist() for n in ("doc_id", "toxic", "words", "counts")], strict=True)}
     # near copies mostly share one of two least shingles; they count once too, or all their words would look toxic
-    keyed = rows.join(drawn, "doc_id").select("doc_id", "text", "toxic").mapInArrow(keys, "doc_id long, toxic int, k1 long, k2 long")
-    taken = one_of_copies([tuple(r) for r in keyed.collect()])  # one row for each drawn example
-    n = len(taken)
-    n1 = sum(y for _, y in taken)
-    prior = (n1 + 0.1) / (n + 1)
-    sample = F.broadcast(spark.createDataFrame(taken, "doc_id long, toxic int"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, zero = Counter(), Counter()
-        for b in slices(batches):
-            for t, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
-                (one if y else zero).update(features(t.as_py()).keys())
-        names = [*one.keys(), *(k for k in zero if k not in one)]
-        for k in range(0, len(names), 20_000):
-            own = names[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([one[x] for x in own], pa.int64()), pa.array([zero[x] for x in own], pa.int64())], ["feature", "a", "b"])
-
-    by_feature = rows.join(sample, "doc_id").select("text", "toxic").mapInArrow(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # the features that stand out are chosen in SQL, a little more of them than wanted, so that only those travel to the driver
-    # a text that is there twice under different ids can count more often than the draw has rows
-    a, b = F.least("a", F.lit(n1)) + 0.5, F.least("b", F.lit(n - n1)) + 0.5
-    odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n - n1 + 1 - b))
-    z = odds / F.sqrt(1 / a + 1 / (n1 + 1 - a) + 1 / b + 1 / (n - n1 + 1 - b))
-    best = by_feature.where((F.col("a") + F.col("b") >= 2) & (z >= LEAST_Z - 1e-6) & (odds >= LEAST_ODDS - 1e-6)).collect() if n1 and n > n1 else []
-    names = pick_features([(r[0], min(r[1], n1), min(r[2], n - n1)) for r in best], n1, n - n1)
-    chosen = Chosen(names)
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = Counter(), 0
-        for b in slices(batches):
-            out = []
-            for i, t, y in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("toxic").to_pylist(), strict=True):
-                got = chosen.counts(t.as_py())
-                seen.update(got.keys())
-                total += 1
-                if y is not None:
-                    out.append((i, y, list(got), list(got.values())))
-            yield pack(out)
-        yield pack([(total, -1, list(seen), list(seen.values()))])
-
-    def pack(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.int64()))], ["id", "toxic", "features", "counts"])
-
-    read = durable(rows.join(sample, "doc_id", "left").select("doc_id", "text", "toxic").mapInArrow(second, "id long, toxic int, features array<int>, counts array<long>"))
-    df = np.zeros(len(names))
-    total = read.where("toxic = -1").agg(F.sum("id")).first()[0] or 0
-    for r in read.where("toxic = -1").select(F.explode(F.arrays_zip("features", "counts")).alias("z")).groupBy("z.features").agg(F.sum("z.counts").alias("n")).collect():
-        df[r[0]] = r[1]
-    idf = np.log((total + 1) / (df + 1)) + 1
-    out = Index(chosen, idf, prior=prior)
-    examples, blank = {}, [0, 0]
-    for r in read.where("toxic >= 0").collect():  # one row for each example
-        if r[2]:
-            examples[r[0], r[1]] = dict(zip(r[2], r[3], strict=True))
-        else:
-            blank[r[1] > 0] += 1
-    ordered = sorted((hash((i * 0x9E3779B97F4A7C15) & 0xFFFFFFFF), i, y) for i, y in examples)
-    listed = [(i, y, examples[i, y]) for _, i, y in ordered]
-    out.empty = (blank[1] + prior) / (sum(blank) + 1)
-    return out.build(listed).calibrate(listed)
+    taken = one_of_copies(list(zip(*[table[n].to_pylist() for n in ("doc_id", "toxic", "k1", "k2")], strict=True)))
+    n, n1 = len(taken), sum(y for _, y in taken)
+    a, b = Counter(), Counter()
+    for key in taken:
+        (a if key[1] else b).update(found[key][0])
+    names = sorted(a.keys() | b.keys())
+    at = {w: k for k, w in enumerate(names)}
+    held = spark.sparkContext.broadcast(at)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen, total = held.value, np.zeros(len(held.value) + 1, np.int64), 0
+        for batch in slices(batches):
+            for t in batch.column(0):
+                words = set(_WORD.findall((t.as_py() or "").lower()))
+                seen[[at[w] for w in words if w in at]] += 1
+            total += batch.num_rows
+        seen[-1] = total
+        own = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen[own])], ["word", "n"])
+
+    counts = rows.select("text").mapInArrow(frequencies, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(names) + 1, np.int64)
+    df[counts["word"].to_numpy()] = counts["n"].to_numpy()
+    count_of = lambda c: np.array([c[w] for w in names], float)
+    prior = (size.get(1, 0) + 0.1) / (sum(size.values()) + 1)
+    out = Index(at, term_weights(df[:-1], int(df[-1]), count_of(a), count_of(b), n1, n - n1), prior=prior)
+    out.share = (size.get(0, 0) / max(1, n - n1), size.get(1, 0) / max(1, n1))
+    blank = [sum(1 for key in taken if key[1] == y and not found[key][0]) for y in (0, 1)]
+    out.empty = (blank[1] * out.share[1] + prior) / (blank[0] * out.share[0] + blank[1] * out.share[1] + 1)
+    ready = spark.sparkContext.broadcast(out.build([(*key, dict(zip(*found[key], strict=True))) for key in taken]))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, AT_ONCE):
+            rows = [(i, y, dict(zip(w, c, strict=True))) for i, y, w, c in zip(*[b.column(n).to_pylist() for n in ("doc_id", "toxic", "words", "counts")], strict=True)]
+            got = ready.value.votes(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.float64()), pa.array([y for _, y in got], pa.int32())], ["vote", "toxic"])
+
+    voted = made.select("doc_id", "toxic", "words", "counts").mapInArrow(vote, "vote double, toxic int").collect()  # one row for each example
+    return out.calibrate([tuple(r) for r in voted])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every whole text, and the columns named by keep.
 
-    evidence: the nearest labelled examples as (doc_id, cosine, label). Null and empty texts, and texts without any
-    feature, get the rate of labelled examples without features. Without labels of both kinds every score is the
-    prior. Rows with a null doc_id are scored and count as not held out. Repeated rows give repeated results; extra
-    columns are ignored; an empty table gives no rows. Several labels of one doc_id count as toxic if one is.
-    The broadcast index is bounded by max_examples: it holds all features that stand out among them.
+    evidence: the nearest labelled examples as (doc_id, cosine, label). Null and empty texts, and texts that share
+    no word with an example, get the rate of empty examples (the prior, if there are none). Without labels every
+    score is the prior. Rows with a null doc_id are scored and count as not held out. Repeated rows give repeated
+    results; extra columns are ignored; an empty table gives no rows. Several labels of one doc_id count as toxic if
+    one is, and a label holds for every text of its doc_id. The broadcast index is bounded by max_examples texts of
+    MAX_EXAMPLE_CHARS characters: it holds all of their words.
     """
     index = fit(docs, labels, text_col, id_col, max_examples)
     held = docs.sparkSession.sparkContext.broadcast(index)
@@ -303,12 +332,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for b in slices(batches):
+        for b in slices(batches, AT_ONCE):
             scores, why = [], []
-            for t in b.column(1):
-                s, found = own.score(own.chosen.counts(t.as_py()))
+            for s, found in own.score([words_of(t.as_py()) for t in b.column(1)]):
                 scores.append(s)
-                why.append([{"doc_id": int(own.ids[i]), "cosine": c, "toxic": int(own.labels[i])} for c, i in found[:3]])
+                why.append([{"doc_id": int(own.ids[i]), "cosine": c, "toxic": int(own.labels[i])} for c, i in found])
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array(why, kind), *b.columns[2:]], ["doc_id", "score", "evidence", *keep])
 
     slim = one_each(docs, id_col, text_col, *keep)

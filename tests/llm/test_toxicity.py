@@ -48,27 +48,55 @@ def test_held_out_labels_are_not_learned(spark):
     assert a == sorted((r.doc_id, r.score) for r in toxicity.score_toxicity(docs, turned).collect())
 
 
+def sample_index(n=1500, words=300, seed=2, topics=1):
+    rng = np.random.default_rng(seed)
+    names = [f"w{i}" for i in range(words)]
+    share = 1 / (1 + np.arange(words))  # a few words are in most texts
+    per = words // topics  # each text is of one topic, whose words it takes
+
+    def make():
+        topic, p = rng.integers(topics), share[:per] / share[:per].sum()
+        return {names[topic * per + i]: int(rng.integers(1, 4)) for i in rng.choice(per, rng.integers(3, 40), replace=False, p=p)}
+
+    examples = [(i, int(rng.integers(2)), make()) for i in range(n)]
+    df = np.array([sum(w in c for *_, c in examples) for w in names], float)
+    weight = toxicity.term_weights(df, n, df / 2, df / 2, n // 2, n - n // 2)
+    return toxicity.Index({w: k for k, w in enumerate(names)}, weight).build(examples), examples, make
+
+
 def test_search_is_exact():
-    rng = np.random.default_rng(2)
-    chosen = toxicity.Chosen([f"w{i}" for i in range(60)])
-    idf = rng.uniform(1, 5, 60)
-    make = lambda: {int(i): int(rng.integers(1, 4)) for i in rng.choice(60, rng.integers(1, 9), replace=False)}
-    examples = [(i, int(rng.integers(2)), make()) for i in range(3000)]
-    index = toxicity.Index(chosen, idf).build(examples)
-    dense = np.zeros((3000, 60))
+    index, examples, make = sample_index()
+    assert (index.column >= 0).sum() > 20 and len(index.posts) > 1000  # both kinds of lists are there
+    dense = np.zeros((len(examples), len(index.weight)))
     where = {int(i): k for k, i in enumerate(index.ids)}
     for i, _, c in examples:
         at, w = index.vector(c)
         dense[where[i], at] = w
-    for _ in range(60):
+    for _ in range(80):
         at, w = index.vector(make())
-        q = np.zeros(60)
+        q = np.zeros(len(index.weight))
         q[at] = w
         cos = dense @ q
         want = sorted(((-round(c, 9), k) for k, c in enumerate(cos) if c > 0))[: toxicity.NEIGHBOURS]
-        got = index.nearest(at, w)
-        assert np.allclose([s for s, _ in got], [-s for s, _ in want])
-        assert index.nearest(at, w, without=got[0][1])[0][1] != got[0][1]
+        got = index.nearest([(at, w), (at[:0], w[:0])])
+        assert np.allclose([s for s, _ in got[0]], [-s for s, _ in want]) and got[1] == []
+        assert index.nearest([(at, w)], without=[got[0][0][1]])[0] == index.nearest([(at, w)], toxicity.NEIGHBOURS + 1)[0][1:]
+
+
+def test_blocks_are_skipped():
+    index, examples, _ = sample_index(4000, topics=4)
+    index.nearest([index.vector(c) for _, _, c in examples[:200]])
+    assert index.blocks_asked < 0.4 * index.blocks_met
+
+
+def test_like_examples_share_blocks():
+    rng = np.random.default_rng(1)
+    rows = np.zeros((512, 8))
+    kind = rng.integers(0, 4, 512)
+    rows[np.arange(512), kind] = 1
+    order = toxicity.halves(rows, np.arange(512))
+    assert sorted(order.tolist()) == list(range(512))
+    assert sum(len(set(kind[order[k : k + 64]].tolist())) for k in range(0, 512, 64)) <= 14
 
 
 def test_odd_documents_and_no_labels(spark, odd_docs, no_docs):
@@ -86,22 +114,31 @@ def test_copies_count_once():
     assert toxicity.one_of_copies(rows) == [(3, 1), (4, 0), (7, 1)]
 
 
-def test_counts_match_all_features():
-    text = "Blorgh blorgher the Blorghing, snarfle's SNARFLE 12 über Überall"
-    chosen = toxicity.Chosen(["blorgh", "blor*", "snarfle", "über*", "blorgh*"])
-    every = toxicity.features(text)
-    assert {n: chosen.counts(text).get(i, 0) for n, i in chosen.at.items()} == {n: every.get(n, 0) for n in chosen.at}
-    assert chosen.counts(None) == {}
-
-
-def test_no_bound_grows_with_the_kinds_of_features_or_cuts_them(spark):
-    rows = [(f"strong{r}", 40, 1) for r in range(3000)]
-    assert len(toxicity.pick_features(rows, 60, 600)) == len(rows)
-    # a word of 4 toxic examples and of no clean one, beside more than 20,000 kinds of features
+def test_every_word_of_the_examples_counts(spark):
+    # a word of 4 toxic examples and of no clean one, beside more than 20,000 others
     random.seed(4)
     vocab = ["".join(random.choices("abcdefghijklmnop", k=9)) for _ in range(8000)]
     learned = [i for i in range(700) if zlib.crc32(str(i).encode()) % 5]
     toxic = set(learned[:48])
     docs = [(i, " ".join(random.choices(vocab, k=60) + ["vexnor"] * (i in learned[:4]))) for i in learned]
     labels = spark.createDataFrame([(i, int(i in toxic)) for i in learned], "doc_id long, toxic int")
-    assert "vexnor" in toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels).chosen.at
+    index = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert set(index.at) == {w for _, t in docs for w in t.split()}
+    assert index.weight[index.at["vexnor"]] > 2 * np.log(701 / 5)
+
+
+def test_a_draw_of_both_labels_stands_for_all(spark):
+    rows = corpus(400)
+    docs, labels = frames(spark, rows)
+    index = toxicity.fit(docs, labels, max_examples=40)
+    assert index.labels.sum() == 20 and len(index.labels) == 40
+    assert index.share[0] > 3 * index.share[1] >= 3
+    assert abs(index.prior - 1 / 4) < 0.1  # every second row has a label, every eighth is toxic
+
+
+def test_texts_that_share_an_id(spark):
+    rows = corpus(120)
+    docs = spark.createDataFrame([(i % 60, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(60)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs.withColumn("h", toxicity.F.length("text")), labels, keep=["h"])
+    assert got.count() == 120 and "h" in got.columns
