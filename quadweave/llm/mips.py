@@ -15,12 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import durable
+from quadweave.llm.common import durable, runs
 
-#: Vectors in a bucket, queries of a broadcast block, and the longest vectors that give the first thresholds.
+#: Vectors in a bucket, vectors of the buckets and queries that one task compares, and the longest vectors that give
+#: the first thresholds.
 BUCKET = 4096
-QUERY_BLOCK = 4096
+GROUP = 16_384
+QUERY_BLOCK = 16_384
 SEEDS = 1024
+#: Stands for a null id, behind all others.
+NO_ID = int(np.iinfo(np.int64).max)
 #: From this cosine on a bucket's vectors are ruled out by coordinates, below it by length.
 COORDINATE_COSINE = 0.6
 FOCUS = 8
@@ -43,7 +47,7 @@ def exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """A block of queries with their running top-k over the buckets that one task sees."""
+    """A batch of queries with their running top-k over the buckets that one task sees."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, q, k
@@ -99,72 +103,89 @@ class Block:
             self.keep(i, scores[good], ids[good])
 
 
-def top_products(vectors: DataFrame, queries: F.Column | str = "vec_id % 100 = 0", k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0, query_block: int = QUERY_BLOCK, bucket: int = BUCKET) -> DataFrame:
+def top_products(vectors: DataFrame, queries: F.Column | str = "vec_id % 100 = 0", k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0, query_block: int = QUERY_BLOCK, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k greatest integer inner products with every row but itself.
 
     queries: a condition over vec_id. Ties go to the smaller vec_id. Vectors of another length than the query's are
     no candidates; null or non-finite ones take no part. "Itself" is by vec_id, so repeated rows of an id are all
-    left out of its own list and appear as repeated candidates in others'; a null vec_id is a candidate without a
-    place in ties, put last. Products beyond 2**63 are not defined. Empty tables give no rows.
-    Queries are asked in blocks of query_block, each broadcast within that bound; each block is one pass over the
-    buckets, whose lists of k per query meet in one aggregation.
+    left out of its own list and appear as repeated candidates in others'; of several vectors of one id the smallest
+    asks. A null vec_id is a candidate without a place in ties, put last. Products beyond 2**63 are not defined.
+    Extra columns are ignored; empty tables give no rows.
+
+    One job compares blocks of queries with groups of buckets; a query goes to those groups only whose greatest
+    length can reach its first threshold. The driver holds that length of every group, and SEEDS vectors.
     """
     rows = quantised(vectors, id_col, vec_col, scale)
     rows = rows.withColumn("dim", F.size("v"))
     total = rows.count()
-    parts = max(1, min(20_000, -(-total // bucket)))
-    # lengths are often equal, so the id breaks ties: one hot length spreads over buckets too
-    kept = durable(rows.repartitionByRange(parts, F.desc("norm"), F.col("vec_id")).sortWithinPartitions("dim", F.desc("norm"), "vec_id"))
-    asked = durable(kept.where(queries).where("vec_id is not null").dropDuplicates(["vec_id"]).select("vec_id", "v", "dim"))
     spark = vectors.sparkSession
-    n_asked = asked.count()
-    blocks = 1 if n_asked <= query_block else 2 * -(-n_asked // query_block)  # half full on average, so none overflows
-    if blocks > 1:
-        asked = durable(asked.withColumn("n", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
-    seeds = [(r[0], np.array(r[1], np.int64)) for r in kept.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v").collect()]
-    found = None
-    for n in range(blocks):
-        own = asked if blocks == 1 else asked.where(F.col("n") == n)
-        block: dict[int, list] = {}
-        for r in own.select("vec_id", "v", "dim").collect():  # one block, bounded by query_block
-            block.setdefault(r[2], []).append((r[0], r[1]))
-        if not block:
-            continue
-        made = {}
-        for d, qs in block.items():
-            ids, q = np.array([x[0] for x in qs], np.int64), np.array([x[1] for x in qs], np.int64).reshape(len(qs), d)
-            own_seeds = [(i if i is not None else np.iinfo(np.int64).max, v) for i, v in seeds if len(v) == d]
-            floor = np.full(len(ids), -np.inf)
-            if len(own_seeds) > k:
-                s = exact_products(q, np.stack([v for _, v in own_seeds])).astype(float)
-                s[np.array([i for i, _ in own_seeds])[None, :] == ids[:, None]] = -np.inf
-                floor = np.partition(s, -k, axis=1)[:, -k]
-            made[d] = (ids, q, floor)
-        held = spark.sparkContext.broadcast(made)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            asks = {d: Block(*x, k) for d, x in held.value.items()}
-            for b in batches:
-                dims = b.column("dim").to_numpy(zero_copy_only=False)
-                ids = b.column("vec_id").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-                norm = b.column("norm").to_numpy(zero_copy_only=False)
-                col = b.column("v")
-                flat, offsets = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
-                for d in np.unique(dims).tolist():
-                    at = np.flatnonzero(dims == d)
-                    if d in asks and len(at):
-                        v = np.stack([flat[offsets[i] : offsets[i + 1]] for i in at]) if d else np.zeros((len(at), 0), np.int64)
-                        asks[d].bucket(ids[at], v, norm[at])
-            out = [(a.ids[i], s, v) for a in asks.values() for i, (s, v) in enumerate(a.best) if len(s)]
-            if out:
-                q = np.repeat([o[0] for o in out], [len(o[1]) for o in out])
-                v = np.concatenate([o[2] for o in out])
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(np.concatenate([o[1] for o in out]), pa.int64())], ["query_id", "vec_id", "score"])
-
-        part = durable(kept.select("vec_id", "v", "norm", "dim").mapInArrow(run, "query_id long, vec_id long, score long"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    parts = max(1, min(1_000_000, -(-total // group)))
+    # lengths are often equal, so the id breaks ties: one hot length spreads over groups too
+    kept = durable(rows.repartitionByRange(parts, "dim", F.desc("norm"), F.col("vec_id")).withColumn("grp", F.spark_partition_id()))
+    tops: dict[int, list[tuple[int, float]]] = {}
+    for d, g, top in kept.groupBy("dim", "grp").agg(F.max("norm")).orderBy("dim", "grp").collect():
+        tops.setdefault(d, []).append((g, top))
+    seeds: dict[int, list] = {}
+    for i, v in kept.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v").collect():
+        seeds.setdefault(len(v), []).append((NO_ID if i is None else i, v))
+    held = spark.sparkContext.broadcast((tops, {d: (np.array([i for i, _ in s], np.int64), np.array([v for _, v in s], np.int64).reshape(len(s), d)) for d, s in seeds.items()}))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops, seeds = held.value
+        for b in batches:
+            for part, d, ids, q, size in _of_one_length(b, "query_id"):
+                floor = np.full(len(ids), -np.inf)
+                if d in seeds and len(seeds[d][0]) > k:
+                    own, v = seeds[d]
+                    s = exact_products(q, v).astype(float)
+                    s[own[None, :] == ids[:, None]] = -np.inf
+                    floor = np.partition(s, -k, axis=1)[:, -k]
+                numbers, greatest = map(np.array, zip(*tops[d], strict=True))
+                can = (size[:, None] * greatest[None, :]) * (1 + 1e-9) + 1e-6 >= floor[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), part.column("v"), part.column("norm"), part.column("dim"), pa.array(floor), pa.array([numbers[c].tolist() for c in can], pa.list_(pa.int32()))], ["query_id", "v", "norm", "dim", "floor", "grps"])
+
+    asked = kept.where(queries).where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("dim", "v", "norm")).alias("x")).select(F.col("vec_id").alias("query_id"), "x.v", "x.norm", "x.dim")
+    asked = durable(asked.mapInArrow(ask, "query_id long, v array<long>, norm double, dim int, floor double, grps array<int>"))
+    blocks = max(1, -(-asked.count() // query_block))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
+    sought = asked.select(F.explode("grps").alias("grp"), block, F.lit(1).alias("asks"), F.col("query_id").alias("vec_id"), "v", "norm", "dim", "floor")
+    stored = kept.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(0).alias("asks"), "vec_id", "v", "norm", "dim", F.lit(0.0).alias("floor"))
+    cells = stored.unionByName(sought).withColumn("cell", F.xxhash64("grp", "block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lists, lengths = None, {}, {}
+        for b in batches:
+            cell = b.column("cell").to_numpy()
+            for lo, hi in zip(*runs(cell * 2 + b.column("asks").to_numpy()), strict=True):
+                own = b.slice(lo, hi - lo)
+                if cell[lo] != at:
+                    at, lists, lengths = cell[lo], {}, {}
+                for part, d, ids, v, norm in _of_one_length(own, "vec_id"):
+                    if not own.column("asks")[0].as_py():
+                        lists.setdefault(d, []).append((ids, v, norm))
+                        continue
+                    if d not in lengths:
+                        lengths[d] = [np.concatenate(x) for x in zip(*lists.get(d, []), strict=True)]
+                    if not lengths[d]:
+                        continue
+                    asks = Block(ids, v, part.column("floor").to_numpy(), k)
+                    for s in range(0, len(lengths[d][0]), bucket):
+                        asks.bucket(*[x[s : s + bucket] for x in lengths[d]])
+                    out = [(i, s, x) for i, (s, x) in zip(ids, asks.best, strict=True) if len(s)]
+                    if out:
+                        q = np.repeat([o[0] for o in out], [len(o[1]) for o in out])
+                        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate([o[2] for o in out]), pa.int64()), pa.array(np.concatenate([o[1] for o in out]), pa.int64())], ["query_id", "vec_id", "score"])
+
+    found = cells.repartition("cell").sortWithinPartitions("cell", "asks", F.desc("norm"), "vec_id").mapInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    last = F.when(F.col("vec_id") != F.lit(int(np.iinfo(np.int64).max)), F.col("vec_id"))
+    last = F.when(F.col("vec_id") != F.lit(NO_ID), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), last.alias("vec_id"), "score")
+
+
+def _of_one_length(b: pa.RecordBatch, id_col: str) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, length, ids, vectors, norms) of each vector length of a batch, in the order of its rows."""
+    dims = b.column("dim").to_numpy(zero_copy_only=False)
+    for d in np.unique(dims).tolist():
+        part = b if len(dims) and (dims == d).all() else b.filter(pa.array(dims == d))
+        ids = part.column(id_col).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        yield part, d, ids, part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), d), part.column("norm").to_numpy(zero_copy_only=False)
