@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by NN-descent (Dong et al., 2011) over equal labels.
 
-A first graph comes from blocks of vectors that are neighbours in the order of random hyperplane signatures. Each
-round joins the neighbours of every node with one another and keeps better ones; lists in which all neighbours are
-links are saturated, and those of their component are enlarged to all of its members, block by block. An audit
-compares probes that no audit asked before with every vector. Missed links are added; below the asked recall they
-enter the graph and rounds go on with longer lists. If the rounds end below it, all vectors are compared in blocks.
+Every round brings vectors together that are neighbours in fresh random orders, joins the neighbours of every node
+with one another and keeps the best of each list. An audit with probes that no audit asked before then compares them
+with all vectors; rounds go on, with longer lists, until it finds nearly all of their links in the graph. Links that
+an audit supplied never count as found. Lists that are saturated, being full of links, are enlarged to all members of
+their component: counted exactly, cell by cell around leaders, where angles to the leaders decide most pairs of tight
+or long components unseen. If the rounds end below the asked recall, all vectors are compared in blocks.
 """
 
 from __future__ import annotations
@@ -19,16 +20,21 @@ from pyspark.sql import functions as F
 from quadweave.llm.common import Forest, durable, runs, whole_groups
 from quadweave.llm.graph import components
 
-#: First length of neighbour lists, first orders, rows of a first block, members of a completion block, probes.
+#: First length of neighbour lists, orders of a round, rows of a block of an order, members of a completion block,
+#: probes among all nodes and among those with links, rounds.
 NEIGHBOURS = 10
-ORDERS = 3
-WINDOW = 128
+ORDERS = 6
+WINDOW = 256
 BLOCK = 512
-PROBES = 128
-MAX_ROUNDS = 6
-#: A round that adds less than this share of links is the last; the recall that the audit asks for.
-SETTLED = 0.001
+PROBES = 1024
+MAX_ROUNDS = 8
+#: The recall that the audit asks for.
 RECALL = 0.99
+#: Members of a large component for each of its leaders, and leaders of all components that are broadcast at most.
+PER_LEADER = 128
+MAX_LEADERS = 50_000
+#: What rounding may add to an angle.
+MARGIN = 1e-6
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -123,10 +129,10 @@ def first_graph(nodes: DataFrame, k: int, orders: int = ORDERS, window: int = WI
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of every node; ties go to the smaller node."""
-    once = edges.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.max("new").alias("new"))
+    """The k nearest of every node; ties go to the smaller node. A pair is new only if all its mentions are."""
+    once = edges.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.min("new").alias("new"))
     w = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
-    return once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    return once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
 def join_round(nodes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
@@ -134,8 +140,7 @@ def join_round(nodes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     low = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("cos")).alias("low"))
     fwd = graph.select(F.col("a").alias("p"), F.col("b").alias("n"), "new")
     back = graph.select(F.col("b").alias("p"), F.col("a").alias("n"), "new")
-    # the lists that name a node are drawn at random, as many as a list is long: what they miss comes in later
-    # rounds or in the completion of components
+    # of the lists that name a node as many are drawn at random as a list is long; others come in later rounds
     w = Window.partitionBy("p").orderBy(F.desc("new"), F.xxhash64("p", "n"))
     back = back.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
     around = fwd.unionByName(back).groupBy("p", "n").agg(F.max("new").alias("new"))
@@ -164,28 +169,93 @@ def join_round(nodes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     return full.select("p", "n", "new", "v", "low").repartition("p").sortWithinPartitions("p").mapInArrow(local, _EDGE)
 
 
-def complete(nodes: DataFrame, stars: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(node, links): links of every node of a component, compared with all of its members in blocks; counts only."""
+def complete(nodes: DataFrame, stars: DataFrame, threshold: float, block: int = BLOCK, per_leader: int = PER_LEADER) -> DataFrame:
+    """(node, links): how many rows every node of a component links with, its copies left out; all pairs are decided.
+
+    Members of a large component go to their nearest leader. With angles D between two leaders and r to their
+    farthest members, all pairs of two cells are links if D + r + r is within the threshold's angle, and none is if
+    D - r - r is beyond it; only the other pairs of cells are compared.
+    """
     members = stars.join(nodes.select("node", "v", "copies"), "node")
-    sizes = stars.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("nb"))
-    placed = members.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    cells = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    cells = cells.select("node", "v", "copies", "i", F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("cell"))
+    sizes = durable(stars.groupBy("root").agg(F.count("*").alias("m")))
+    small = members.join(sizes.where(F.col("m") <= block), "root").select("node", "v", "copies", F.lit(0).alias("side"), F.xxhash64("root").alias("cell"))
+    counted = _count_cells(small, threshold, block)
+    large = sizes.where(F.col("m") > block)
+    total = large.agg(F.sum("m")).first()[0]
+    if not total:
+        return counted
+    large = durable(members.join(large, "root"))
+    every = max(per_leader, -(-2 * total // MAX_LEADERS))
+    drawn = large.where((F.col("node") == F.col("root")) | (F.pmod(F.xxhash64("node", F.lit(13)), F.lit(every)) == 0)).select("root", "node", "v")
+    leaders: dict[int, list] = {}
+    for root, node, v in drawn.collect():  # bounded by MAX_LEADERS and the number of large components
+        leaders.setdefault(root, []).append((node, v))
+    held = nodes.sparkSession.sparkContext.broadcast({r: (np.array([x[0] for x in own]), _unit(_matrix([x[1] for x in own]))) for r, own in leaders.items()})
+    least = float(np.arccos(min(1.0, threshold)))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pdf = b.to_pandas()
+            lead, angle = np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
+            for root, own in pdf.groupby("root"):
+                names, units = held.value[root]
+                unit = _unit(_matrix(own["v"]))
+                for k in range(0, len(own), 1024):
+                    cos = unit[k : k + 1024] @ units.T
+                    near = cos.argmax(1)
+                    at = own.index.to_numpy()[k : k + 1024]
+                    lead[at], angle[at] = names[near], np.arccos(np.clip(cos.max(1), -1, 1))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("root"), pa.array(lead), pa.array(angle)], ["node", "root", "lead", "angle"])
+
+    placed = durable(large.select("node", "root", "v").mapInArrow(assign, "node long, root long, lead long, angle double"))
+    cells = durable(placed.join(nodes.select("node", "copies"), "node").groupBy("root", "lead").agg(F.max("angle").alias("r"), F.sum("copies").alias("rows")))
+    radius = {x[0]: x[1] for x in cells.select("lead", "r").collect()}  # one row for each leader
+    reach = nodes.sparkSession.sparkContext.broadcast(radius)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for root, lead in zip(b.column("root").to_pylist(), b.column("lead").to_pylist(), strict=True):
+                names, units = held.value[root]
+                r = np.array([reach.value.get(x, -1.0) for x in names.tolist()])
+                me = int(np.flatnonzero(names == lead)[0])
+                apart = np.arccos(np.clip(units @ units[me], -1, 1))
+                apart[me] = 0.0
+                some = (r >= 0) & (apart - r - r[me] <= least + MARGIN)
+                all_of = some & (apart + r + r[me] <= least - MARGIN)
+                other = np.flatnonzero(some)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), lead)), pa.array(names[other]), pa.array(all_of[other])], ["lead", "other", "whole"])
+
+    pairs = durable(cells.select("root", "lead").mapInArrow(decide, "lead long, other long, whole boolean"))
+    rows_of = cells.select(F.col("lead").alias("other"), "rows")
+    bulk = pairs.where("whole").join(rows_of, "other").groupBy("lead").agg(F.sum("rows").alias("rows"), F.max((F.col("lead") == F.col("other")).cast("int")).alias("own"))
+    in_bulk = placed.join(bulk, "lead").join(nodes.select("node", "copies"), "node").select("node", (F.col("rows") - F.col("own") * F.col("copies")).alias("links"))
+    # each pair of cells is compared once, where the members of both meet
+    seen = pairs.where("not whole").select("lead", F.least("lead", "other").alias("x"), F.greatest("lead", "other").alias("y"))
+    members = placed.select("node", "lead").join(nodes.select("node", "v", "copies"), "node")
+    compared = members.join(seen, "lead").select("node", "v", "copies", (F.col("lead") != F.col("x")).cast("int").alias("side"), F.xxhash64("x", "y").alias("cell"))
+    return counted.unionByName(in_bulk).unionByName(_count_cells(compared, threshold, block)).groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _count_cells(cells: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, links) of (node, v, copies, side, cell): links of every node inside its cell; of two sides only across."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pdf in whole_groups(batches, "cell"):
-            cell, node, side, copies = (pdf[c].to_numpy() for c in ("cell", "node", "i", "copies"))
+            cell, node, side, copies = (pdf[c].to_numpy() for c in ("cell", "node", "side", "copies"))
             got = np.zeros(len(pdf), np.int64)
             for lo, hi in zip(*runs(cell), strict=True):
-                u, s = _unit(_matrix(pdf["v"].iloc[lo:hi])), side[lo:hi]
-                cos = u @ u.T
-                if s.min() != s.max():  # two blocks: only across
-                    cos[s[:, None] == s[None, :]] = -2
-                np.fill_diagonal(cos, -2)
-                got[lo:hi] = (cos >= threshold) @ copies[lo:hi]
+                u, s, c = _unit(_matrix(pdf["v"].iloc[lo:hi])), side[lo:hi], copies[lo:hi]
+                two = s.min() != s.max()
+                for k in range(0, hi - lo, block):
+                    linked = u[k : k + block] @ u.T >= threshold
+                    if two:
+                        linked &= s[k : k + block, None] != s[None, :]
+                    at = np.arange(len(linked))
+                    linked[at, k + at] = False
+                    got[lo + k : lo + k + len(linked)] = linked @ c
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(got)], ["node", "links"])
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(count, "node long, links long")
 
 
 def every_link(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -217,6 +287,7 @@ def audit(nodes: DataFrame, stars: DataFrame, threshold: float, probes: int = PR
     asked: the probes of earlier audits. They are not drawn again, and their links don't count, as they were added.
     """
     draw = lambda d: d.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(probes)
+    # probes of all nodes show links of small components, those of linked nodes make the share exact where links are rare
     fresh = nodes if asked is None else nodes.join(F.broadcast(asked), "node", "left_anti")
     chosen = draw(fresh).unionByName(draw(fresh.join(stars.select("node"), "node", "left_semi"))).dropDuplicates(["node"]).select("node", "grp", "v").collect()
     held = nodes.sparkSession.sparkContext.broadcast([(r[0], r[1], np.array(r[2], float) / np.sqrt(np.square(np.array(r[2], float)).sum())) for r in chosen])
@@ -253,41 +324,36 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, k: int =
     vectors are one node and count as links of each other. n_links counts the other rows linked directly;
     component_id is the smallest vec_id reachable; kept marks that row. Rows of repeated ids keep their rows.
     audit_recall is the share of the last audit's links that the graph had before that audit's additions, and 1 if
-    all vectors were compared in the end. An empty table gives no rows.
+    all vectors were compared in the end. Of repeated ids every row is a vector of its own. Extra columns are
+    ignored. An empty table gives no rows.
     """
     rows, nodes = nodes_of(vectors, id_col, vec_col, label_col)
-    start = durable(first_graph(nodes, k))
-    graph = durable(_best(start.withColumn("new", F.lit(True)), k).drop("r"))
-    is_link = F.col("cos") >= threshold
-    once = lambda d: d.where(is_link).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = durable(once(start))
-    n_links, recall, asked, added = links.count(), 1.0, None, None
-    whole = lambda: links if added is None else links.unionByName(added).distinct()
+    both = lambda d: d.select("a", "b", "cos").unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
+    once = lambda d: d.where(F.col("cos") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    new = lambda d: d.select("a", "b", "cos", F.lit(True).alias("new"))
+    graph = links = missed = asked = added = None
     for n in range(MAX_ROUNDS):
-        found = durable(join_round(nodes, graph, k))
-        links = durable(links.unionByName(once(found)).distinct())
-        now = links.count()
-        grown, n_links = now - n_links, now
-        settled = grown <= SETTLED * max(1, now)
-        missed = None
-        if settled or n + 1 == MAX_ROUNDS:
-            stars = durable(components(links))
-            missed, seen, asked = audit(nodes, stars, threshold, seed=3 + n, asked=asked)
-            recall = 1.0 if seen == 0 else 1 - missed.count() / seen
-            # kept apart from the links that the rounds found, or the next audit would count them as found
-            added = once(missed) if added is None else added.unionByName(once(missed))
-            if recall >= RECALL:
-                stars = durable(components(whole()))
-                break
-            k *= 2
-        old = graph.select("a", "b", "cos", F.lit(False).alias("was_new"))
-        more = found
+        start = durable(first_graph(nodes, k, seed=5 + n))
+        more = new(start) if graph is None else graph.unionByName(new(start))
         if missed is not None:  # missed links are new neighbours of both their ends
-            more = found.unionByName(missed).unionByName(missed.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
-        merged = _best(old.select("a", "b", "cos", F.lit(False).alias("new")).unionByName(more.withColumn("new", F.lit(True))), k).drop("r", "new")
-        graph = durable(merged.join(old.select("a", "b", "was_new"), ["a", "b"], "left").select("a", "b", "cos", F.col("was_new").isNull().alias("new")))
+            more = more.unionByName(new(both(missed)))
+        graph = durable(_best(more, k))
+        found = durable(join_round(nodes, graph, k))
+        seen_links = once(start).unionByName(once(found))
+        links = durable((seen_links if links is None else links.unionByName(seen_links)).distinct())
+        graph = graph.withColumn("new", F.lit(False)).unionByName(new(found))
+        stars = durable(components(links))
+        missed, seen, asked = audit(nodes, stars, threshold, seed=3 + n, asked=asked)
+        recall = 1.0 if seen == 0 else 1 - missed.count() / seen
+        # kept apart from the links that the rounds found, or the next audit would count them as found
+        added = once(missed) if added is None else added.unionByName(once(missed))
+        if recall >= RECALL:
+            if not added.isEmpty():
+                stars = durable(components(links.unionByName(added).distinct()))
+            break
+        k += NEIGHBOURS
     else:  # the rounds ended below the asked recall
-        stars, recall = durable(components(whole().unionByName(every_link(nodes, threshold)).distinct())), 1.0
+        stars, recall = durable(components(links.unionByName(added).unionByName(every_link(nodes, threshold)).distinct())), 1.0
     full = complete(nodes, stars, threshold)
     least = stars.join(nodes.select("node", "least"), "node")
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
