@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,18 +15,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadweave.functions.curves import tile_id
 from quadweave.operators.directory import blob_owners
 from quadweave.sources import archive_format as fmt
-from quadweave.sources.pmtiles import Archive
+from quadweave.sources.mbtiles import read_info, read_mbtiles
+from quadweave.sources.pmtiles import Archive, read_directory
 
 LEAF_ENTRIES = 4096
 
 
-def _work_dir(spark: SparkSession, path: str) -> str:
-    """A folder that driver and executors share: beside the checkpoints, or beside the archive in local runs."""
+def shared_folder(spark: SparkSession, kind: str, beside: str | None = None) -> str:
+    """A new folder on the mount that driver and executors share: below spark.checkpoint.dir, which the cluster names.
+
+    Only a run in one process may go without: its folder is beside the given path, or a temporary one that goes at exit.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    base = named.removeprefix("file://") if named and (named.startswith("file:") or "://" not in named) else os.path.dirname(os.path.abspath(path))
-    own = os.path.join("/" + base.lstrip("/").removeprefix("file:/"), f".tiles-{uuid.uuid4().hex}")
+    if named and (named.startswith("file:") or "://" not in named):
+        base = "/" + named.removeprefix("file:").lstrip("/")
+    elif not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder on a mount that driver and executors share")
+    elif beside:
+        base = os.path.dirname(os.path.abspath(beside))
+    else:
+        base = tempfile.mkdtemp(prefix="quadweave-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    own = os.path.join(base, f".{kind}-{uuid.uuid4().hex}")
     os.makedirs(own)
     return own
 
@@ -37,7 +52,7 @@ def write_archive(tiles: DataFrame, path: str, metadata: str, min_zoom: int, max
     executors too, and used as soon as the entries outgrow the root's budget.
     """
     spark = tiles.sparkSession
-    work = _work_dir(spark, path)
+    work = shared_folder(spark, "tiles", path)
     try:
         stored = os.path.join(work, "tiles")
         tiles.where(F.length("data") > 0).select("tile_id", "data", F.sha2("data", 256).alias("sha")).write.parquet(f"file://{stored}")
@@ -153,10 +168,22 @@ def inspect(spark: SparkSession, path: str) -> DataFrame:
     except (ValueError, fmt.ArchiveError):
         meta = "{}"
     h = a.header
-    sizes = np.array([e[2] for e in a.entries()] or [0])
     a.close()
-    row = (h.min_zoom, h.max_zoom, h.addressed, h.entries, h.contents, os.path.getsize(path), int(sizes.min()), int(np.median(sizes)), int(sizes.max()), *h.bounds, meta)
-    return spark.createDataFrame([row], "min_zoom int, max_zoom int, addressed long, entries long, contents long, bytes long, smallest long, median long, largest long, minx double, miny double, maxx double, maxy double, metadata string")
+    size = lambda f: F.coalesce(f, F.lit(0)).cast("long")
+    sizes = read_directory(spark, path).agg(size(F.min("length")).alias("smallest"), size(F.median("length")).alias("median"), size(F.max("length")).alias("largest"))
+    known = {"min_zoom": (h.min_zoom, "int"), "max_zoom": (h.max_zoom, "int"), "addressed": (h.addressed, "long"), "entries": (h.entries, "long"), "contents": (h.contents, "long"), "bytes": (os.path.getsize(path), "long")}
+    box = dict(zip(("minx", "miny", "maxx", "maxy"), h.bounds, strict=True))
+    return sizes.select(*[F.lit(v).cast(t).alias(n) for n, (v, t) in known.items()], "smallest", "median", "largest", *[F.lit(v).cast("double").alias(n) for n, v in box.items()], F.lit(meta).alias("metadata"))
+
+
+def import_mbtiles(spark: SparkSession, source: str, path: str) -> fmt.Header:
+    """The tiles of an MBTiles file as an archive, as they are stored, with its zooms, bounds and metadata."""
+    info = read_info(source)
+    tiles = read_mbtiles(spark, source).select(tile_id("z", "x", "y").alias("tile_id"), "data")
+    b = info.bounds
+    center = ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2, (info.min_zoom + info.max_zoom) // 2)
+    meta = json.dumps({**info.metadata, "name": info.name}, ensure_ascii=False, sort_keys=True)
+    return write_archive(tiles, path, meta, info.min_zoom, info.max_zoom, b, center, info.compression)
 
 
-__all__ = ["inspect", "write_archive", "write_small_archive"]
+__all__ = ["import_mbtiles", "inspect", "shared_folder", "write_archive", "write_small_archive"]

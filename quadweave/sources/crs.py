@@ -50,6 +50,12 @@ def head_of_file(spark: SparkSession, path: str, size: int = CRS_SCAN_BYTES) ->
         stream.close()
 
 
+def bytes_of_file(spark: SparkSession, path: str) -> int:
+    """The size of a file, or of all files of a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(place).getLength()
+
+
 def to_wgs84(rows: DataFrame, code: str | None) -> DataFrame:
     """Feature rows in the given system -> longitude and latitude."""
     if code is None or is_wgs84(code):

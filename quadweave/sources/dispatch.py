@@ -24,11 +24,11 @@ def read_layer(spark: SparkSession, path: str, name: str | None = None, crs: str
     ext = os.path.splitext(path)[1].lower()
     name = name or layer_name(path)
     if ext in LINES:
-        return to_wgs84(read_geojsonseq(spark, path, name), crs)
+        return to_wgs84(read_geojsonseq(spark, path, name), crs or crs_of_file(spark, path))
     if ext in DOCUMENTS:
         return to_wgs84(read_geojson(spark, path, name), crs or crs_of_file(spark, path))
     if ext == ".csv":
         return to_wgs84(read_csv_points(spark, path, name), crs)
     if ext == ".shp":
         return read_shapefile(spark, path, name)
-    raise ValueError(f"{ext or path!r} is not a known input; known are {', '.join(KNOWN)} (.mbtiles and .pmtiles hold tiles: read_mbtiles, read_pmtiles)")
+    raise ValueError(f"{ext or path!r} is not a known input; known are {', '.join(KNOWN)} (.mbtiles and .pmtiles hold tiles: import_mbtiles, read_mbtiles, read_pmtiles)")

@@ -134,9 +134,52 @@ def read_pmtiles(spark: SparkSession, path: str, dialect: str = "spec") -> DataF
     return spark.read.format("quadweave_pmtiles").option("dialect", dialect).load(os.fspath(path))
 
 
+class _Leaf(InputPartition):
+    pass
+
+
+class _DirectoryReader(DataSourceReader):
+    def __init__(self, path: str, dialect: str):
+        self.path, self.dialect = path, dialect
+
+    def partitions(self) -> list[InputPartition]:
+        """The root's own entries, and one partition for each leaf directory that it names."""
+        a = Archive(self.path, self.dialect)
+        own = [e for e in a.root if e[3] > 0]
+        leaves = [(e[1], e[2]) for e in a.root if e[3] == 0]
+        a.close()
+        return [_Leaf((own, None)), *[_Leaf(([], leaf)) for leaf in leaves]]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        own, leaf = partition.value
+        yield from own
+        if leaf is None:
+            return
+        a = Archive(self.path, self.dialect)
+        todo = [leaf]
+        while todo:  # a leaf may name leaves
+            offset, length = todo.pop()
+            for e in fmt.decode_directory(a._internal(a.header.leaf_offset + offset, length), self.dialect):
+                if e[3] > 0:
+                    yield tuple(map(int, e))
+                else:
+                    todo.append((e[1], e[2]))
+        a.close()
+
+
+class DirectorySource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "quadweave_directory"
+
+    def schema(self) -> str:
+        return "tile_id long, offset long, length long, run_length long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _DirectoryReader(self.options["path"], self.options.get("dialect", "spec"))
+
+
 def read_directory(spark: SparkSession, path: str, dialect: str = "spec") -> DataFrame:
-    """(tile_id, offset, length, run_length) rows of an archive."""
-    a = Archive(path, dialect)
-    rows = list(a.entries())
-    a.close()
-    return spark.createDataFrame(rows, "tile_id long, offset long, length long, run_length long")
+    """(tile_id, offset, length, run_length) rows of an archive, leaf by leaf."""
+    spark.dataSource.register(DirectorySource)
+    return spark.read.format("quadweave_directory").option("dialect", dialect).load(os.fspath(path))

@@ -114,9 +114,12 @@ class _Reader(DataSourceReader):
         base = os.path.splitext(partition.value)[0]
         require_wgs84_prj(base + ".prj")
         shapes = read_shp(open(partition.value, "rb").read())
-        rows = read_dbf(open(base + ".dbf", "rb").read()) if os.path.exists(base + ".dbf") else iter(lambda: [], 0)
+        shapes = list(shapes)
+        rows = list(read_dbf(open(base + ".dbf", "rb").read())) if os.path.exists(base + ".dbf") else [[]] * len(shapes)
+        if len(rows) != len(shapes):
+            raise ValueError(f"{os.path.basename(base)} has {len(shapes)} shapes and {len(rows)} rows of attributes")
         seed = zlib.crc32(os.path.basename(base).encode()) << 31
-        for i, (shape, props) in enumerate(zip(shapes, rows, strict=False)):
+        for i, (shape, props) in enumerate(zip(shapes, rows, strict=True)):
             if shape is not None:
                 yield self.layer, seed + i, {"kind": shape[0], "parts": [[[{"x": x, "y": y} for x, y in r] for r in p] for p in shape[1]]}, [{"k": k, "t": t, "s": s} for k, t, s in props]
 

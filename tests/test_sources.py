@@ -172,3 +172,49 @@ def test_crs_after_many_lines_is_found(spark, tmp_path):
     assert crs.crs_of_file(spark, str(path)) is None
     (tmp_path / "empty.geojson").write_text("")
     assert crs.crs_of_file(spark, str(tmp_path / "empty.geojson")) is None
+
+
+def test_crs_of_line_delimited_input(spark, tmp_path):
+    feature = {"type": "Feature", "crs": {"properties": {"name": "EPSG:3857"}}, "geometry": {"type": "Point", "coordinates": [111319.49079327357, 0]}, "properties": {}}
+    (tmp_path / "m.ndjson").write_text("\n".join([json.dumps(feature)] * 3))
+    c = read_layer(spark, f"{tmp_path}/m.ndjson").first().geom.parts[0][0][0]
+    assert (round(c.x, 9), round(c.y, 9)) == (1.0, 0.0)
+
+
+def test_shapes_without_their_attributes_are_an_error(spark, tmp_path):
+    ring = [(0.0, 0.0), (0.0, 9.0), (9.0, 9.0), (0.0, 0.0)]
+    xy = b"".join(struct.pack("<2d", *c) for c in ring)
+    (tmp_path / "q.shp").write_bytes(shp(5, struct.pack("<4d", 0, 0, 9, 9) + struct.pack("<2i", 1, 4) + struct.pack("<i", 0) + xy))
+    assert read_layer(spark, f"{tmp_path}/q.shp").count() == 1
+    field = b"N".ljust(11, b"\0") + b"N" + b"\0" * 4 + bytes([5, 0]) + b"\0" * 14
+    (tmp_path / "q.dbf").write_bytes(struct.pack("<B3BIHH", 3, 0, 0, 0, 0, 65, 6) + b"\0" * 20 + field + b"\r")
+    with pytest.raises(Exception, match="1 shapes and 0 rows"):
+        read_layer(spark, f"{tmp_path}/q.shp").collect()
+
+
+def test_mbtiles_become_an_archive(spark, tmp_path, capsys):
+    from quadweave.plans import cli
+    from quadweave.sources.pmtiles import read_directory, read_pmtiles
+
+    path, out = str(tmp_path / "n.mbtiles"), str(tmp_path / "n.pmtiles")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE metadata (name text, value text)")
+        db.execute("CREATE TABLE tiles (zoom_level int, tile_column int, tile_row int, tile_data blob)")
+        db.execute("INSERT INTO metadata VALUES ('name', 'towns'), ('minzoom', '0'), ('maxzoom', '2')")
+        db.executemany("INSERT INTO tiles VALUES (?,?,?,?)", [(0, 0, 0, b"\x1f\x8bx"), (2, 1, 0, b"yy"), (2, 1, 3, b"yy")])
+    assert cli.main(["bake", path, "-o", out], spark) == 0
+    assert sorted((r.z, r.x, r.y, bytes(r.data)) for r in read_pmtiles(spark, out).collect()) == [(0, 0, 0, b"\x1f\x8bx"), (2, 1, 0, b"yy"), (2, 1, 3, b"yy")]
+    assert read_directory(spark, out).count() == 3
+    capsys.readouterr()
+    assert cli.main(["inspect", out], spark) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert (shown["max_zoom"], shown["smallest"], shown["largest"], shown["contents"], shown["metadata"]["name"]) == (2, 2, 3, 2, "towns")
+
+
+def test_counts_are_projected_from_a_sample(spark, tmp_path):
+    from quadweave.plans.cli import sampled_count
+
+    line = json.dumps({"type": "Feature", "geometry": None, "properties": {"a": "x" * 50}}) + "\n"
+    (tmp_path / "s.ndjson").write_text(line * 200)
+    assert sampled_count(spark, f"{tmp_path}/s.ndjson", 10 * len(line) + 7) == 200
+    assert sampled_count(spark, f"{tmp_path}/s.ndjson", 10**6) == 200
