@@ -53,26 +53,39 @@ class Pen:
             self.to(own)
 
     def line(self, coords: Ring) -> None:
-        own = self.grid(coords)
+        own = distinct_runs(self.grid(coords))
         if len(own) > 1:
             self.out.append(MOVE | 1 << 3)
             self.to(own[:1])
             self.out.append(LINE | (len(own) - 1) << 3)
             self.to(own[1:])
 
-    def ring(self, coords: Ring, shell: bool) -> None:
-        """Shells have a positive area in the grid, whose rows count downwards; holes a negative one."""
+    def ring(self, coords: Ring, shell: bool) -> bool:
+        """Shells have a positive area in the grid, whose rows count downwards; holes a negative one.
+
+        A ring without area in the grid is not drawn; returns whether it was.
+        """
         if len(coords) < 4:
-            return
-        own = self.grid(coords[:-1] if coords[0] == coords[-1] else coords)
+            return False
+        own = distinct_runs(self.grid(coords[:-1] if coords[0] == coords[-1] else coords))
+        while len(own) > 1 and own[0] == own[-1]:
+            own.pop()
         turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(own, own[1:] + own[:1], strict=True))
-        if (turn < 0) == shell and turn:
+        if not turn:
+            return False
+        if (turn < 0) == shell:
             own.reverse()
         self.out.append(MOVE | 1 << 3)
         self.to(own[:1])
         self.out.append(LINE | (len(own) - 1) << 3)
         self.to(own[1:])
         self.out.append(CLOSE | 1 << 3)
+        return True
+
+
+def distinct_runs(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The points without those that repeat the one before."""
+    return [p for i, p in enumerate(points) if i == 0 or p != points[i - 1]]
 
 
 def encode_geometry(kind: int, parts: Parts, tile: Rect) -> tuple[int, list[int]]:
@@ -86,8 +99,10 @@ def encode_geometry(kind: int, parts: Parts, tile: Rect) -> tuple[int, list[int]
             pen.line(r)
         return 2, pen.out
     for p in parts:
-        for i, r in enumerate(p):
-            pen.ring(r, i == 0)
+        # the holes of a shell that has no area in the grid go with it, or they would cut the polygon before
+        if p and pen.ring(p[0], True):
+            for r in p[1:]:
+                pen.ring(r, False)
     return 3, pen.out
 
 

@@ -101,3 +101,13 @@ def test_layers_round_trip():
     assert a["features"][0]["props"] == {"k": ("sint", 1), "d": ("double", 1.0)}
     assert a["features"][1]["props"] == {"k": ("sint", -5), "s": ("string", "null"), "b": ("bool", True)}
     assert b["features"][0]["paths"] == [[(0, 0), (1, 1)]]
+
+
+def test_what_collapses_on_the_grid_is_not_drawn():
+    tile = (0.0, 0.0, 4096.0, 4096.0)
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    assert mvt.encode_geometry(3, [[square(10, 10, 0.2)]], tile)[1] == []
+    drawn = mvt.encode_geometry(6, [[square(100, 100, 50)], [square(10, 10, 0.2), square(10.05, 10.05, 20)]], tile)[1]
+    assert [len(p) for p in mvt.decode_geometry(drawn)] == [5]  # the hole went with its shell
+    assert [len(p) for p in mvt.decode_geometry(mvt.encode_geometry(2, [[[(0, 0), (0.1, 0.1), (9, 9), (9.2, 9)]]], tile)[1])] == [2]
+    assert mvt.encode_geometry(2, [[[(5, 5), (5.1, 5.1)]]], tile)[1] == []
