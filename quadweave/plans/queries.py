@@ -5,8 +5,6 @@ from __future__ import annotations
 import gzip
 import json
 import os
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 from quadweave.functions import curves, mercator, values
 from quadweave.functions.geometry import bbox, byte_cost, coords_of, mvt_type, point, to_mercator
 from quadweave.operators import directory, estimate, fanout, kernels, layer_schema, mvt, tileset
-from quadweave.plans.archive import inspect, write_archive
+from quadweave.plans.archive import inspect, shared_folder, write_archive
 from quadweave.plans.bake import bake_pieces
 from quadweave.plans.config import BakeConfig
 from quadweave.plans.sample_layers import box_layer, lat_sql, line_layer, lon_sql, point_layer, table
@@ -257,12 +255,18 @@ def _event_rows(spark, sf_dir) -> DataFrame:
     return e.select(F.lit("events").alias("layer"), F.col("event_id").alias("fid"), point(F.expr(lon_sql("event_id")), F.expr(lat_sql("event_id"))).alias("geom"), values.props_of(text).alias("props"))
 
 
-@query("SELECT name, type FROM (VALUES ('k','Number'),('type','String'),('v','mixed')) v(name, type)")
+_DOCS = """WITH d AS (SELECT event_id AS k, props[:len(props)-1] || ', "type": "' || event_type || '", "v": ' || CASE WHEN event_id%5 = 0 THEN 'null' WHEN event_id%2 = 0 THEN 'true' ELSE 'false' END || '}' AS doc FROM events)"""
+
+
+@query(f"""{_DOCS}, n AS (SELECT doc, unnest(json_keys(doc)) AS name FROM d),
+    t AS (SELECT DISTINCT name, CASE json_type(doc, '$.' || name) WHEN 'UBIGINT' THEN 'Number' WHEN 'BIGINT' THEN 'Number' WHEN 'DOUBLE' THEN 'Number' WHEN 'BOOLEAN' THEN 'Boolean' ELSE 'String' END AS type FROM n)
+    SELECT name, CASE WHEN count(*) = 1 THEN min(type) ELSE 'mixed' END AS type FROM t GROUP BY name""")
 def op_field_types(spark, sf_dir):
     return layer_schema.field_types(_event_rows(spark, sf_dir)).select("name", "type")
 
 
-@query("SELECT * FROM (VALUES ('customer','Point'),('part','Polygon'),('lineitem','LineString')) v(layer, kinds)")
+@query("""SELECT 'customer' AS layer, 'Point' AS kinds FROM customer GROUP BY 1, 2 UNION ALL SELECT 'part', 'Polygon' FROM part GROUP BY 1, 2
+    UNION ALL SELECT DISTINCT 'lineitem', CASE WHEN n > 1 THEN 'LineString' END FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) WHERE n > 1""")
 def op_geometry_types(spark, sf_dir):
     rows = point_layer(spark, sf_dir, "customer").unionByName(box_layer(spark, sf_dir)).unionByName(line_layer(spark, sf_dir))
     return layer_schema.geometry_kinds(rows).select("layer", F.concat_ws(",", "kinds").alias("kinds"))
@@ -326,13 +330,13 @@ def op_csv_points(spark, sf_dir):
     return rows.select(of("key").cast("double").cast("long").alias("k"), F.round(at["x"], 6).alias("lon"), F.round(at["y"], 6).alias("lat"), of("nation").cast("double").alias("nation"), of("name").alias("name"))
 
 
-@query("SELECT event_id AS k, 'k' AS names FROM events")
+@query(f"{_DOCS} SELECT k, array_to_string(list_filter(json_keys(doc), lambda x: x = 'k'), ',') AS names FROM d")
 def op_keep_fields(spark, sf_dir):
     rows = _event_rows(spark, sf_dir).withColumn("props", values.keep_props("props", ["k"]))
     return rows.select(F.col("fid").alias("k"), F.concat_ws(",", F.transform("props", lambda p: p["k"])).alias("names"))
 
 
-@query("SELECT event_id AS k, 'type,v' AS names FROM events")
+@query(f"{_DOCS} SELECT k, array_to_string(list_filter(json_keys(doc), lambda x: x <> 'k'), ',') AS names FROM d")
 def op_exclude_fields(spark, sf_dir):
     rows = _event_rows(spark, sf_dir).withColumn("props", values.drop_props("props", ["k"]))
     return rows.select(F.col("fid").alias("k"), F.concat_ws(",", F.transform("props", lambda p: p["k"])).alias("names"))
@@ -428,19 +432,21 @@ def op_polygon_clip(spark, sf_dir):
     return wide.select("fid", "x", "y", "geom", "t").mapInArrow(run, "k long, x long, y long, a double").select("k", "x", "y", F.round(F.col("a") / 1e6, 2).alias("km2"))
 
 
-@query(f"""WITH v AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, {lon_sql('l_partkey')} AS x, {lat_sql('l_partkey')} AS y FROM lineitem),
-    l AS (SELECT a.k, a.x AS ax, a.y AS ay, b.x-a.x AS px, b.y-a.y AS py, c.x-a.x AS dx, c.y-a.y AS dy FROM v a JOIN v b ON a.k=b.k AND b.i=2 JOIN v c ON a.k=c.k AND c.i=3 WHERE a.i=1 AND a.n=3),
-    d AS (SELECT *, CASE WHEN dx*dx+dy*dy = 0 THEN 0 ELSE greatest(0,least(1,(px*dx+py*dy)/(dx*dx+dy*dy))) END AS t FROM l)
-    SELECT k, CASE WHEN (px-t*dx)*(px-t*dx)+(py-t*dy)*(py-t*dy) > 2500.0E0 THEN 3 ELSE 2 END AS points FROM d""")
+@query(f"""WITH RECURSIVE l AS (SELECT l_orderkey AS k, list({lon_sql('l_partkey')} ORDER BY l_linenumber, l_partkey, l_suppkey) AS xs, list({lat_sql('l_partkey')} ORDER BY l_linenumber, l_partkey, l_suppkey) AS ys, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1),
+    s AS (SELECT k, xs, ys, CAST(1 AS BIGINT) AS lo, CAST(n AS BIGINT) AS hi FROM l
+          UNION ALL SELECT k, xs, ys, unnest([lo, mid]), unnest([mid, hi]) FROM (
+              SELECT *, lo + list_position(d, list_max(d)) AS mid FROM (
+                  SELECT *, list_transform(list_zip(px, py, t), lambda p: (p[1]-p[3]*dx)*(p[1]-p[3]*dx)+(p[2]-p[3]*dy)*(p[2]-p[3]*dy)) AS d FROM (
+                      SELECT *, list_transform(list_zip(px, py), lambda p: CASE WHEN dx*dx+dy*dy = 0 THEN 0 ELSE greatest(0, least(1, (p[1]*dx+p[2]*dy)/(dx*dx+dy*dy))) END) AS t FROM (
+                          SELECT *, xs[hi]-xs[lo] AS dx, ys[hi]-ys[lo] AS dy, list_transform(xs[lo+1:hi-1], lambda x: x-xs[lo]) AS px, list_transform(ys[lo+1:hi-1], lambda y: y-ys[lo]) AS py FROM s WHERE hi-lo > 1))) WHERE list_max(d) > 2500.0E0))
+    SELECT k, CAST(count(DISTINCT hi)+1 AS INTEGER) AS points FROM s GROUP BY k""")
 def op_rdp_simplify(spark, sf_dir):
-    three = line_layer(spark, sf_dir).where(F.size(coords_of("geom")) == 3).select("fid", "geom")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [len(kernels.simplify(g["kind"], mvt.coord_tuples(g["parts"]), 50.0)[1][0][0]) for g in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], ["k", "points"])
 
-    return three.mapInArrow(run, "k long, points int")
+    return line_layer(spark, sf_dir).select("fid", "geom").mapInArrow(run, "k long, points int")
 
 
 # ---- tiles, directories and archives ----------------------------------------------------------------------------
@@ -578,30 +584,20 @@ def op_multilayer_merge(spark, sf_dir):
     return _decoded(_tiles(rows, 0, 4))
 
 
-def _archive(spark, sf_dir, folder: str, name: str = "supplier", lo: int = 0, hi: int = 4) -> str:
-    path = os.path.join(folder, "tiles.pmtiles")
+def _archive(spark, sf_dir, name: str = "supplier", lo: int = 0, hi: int = 4) -> str:
+    path = os.path.join(shared_folder(spark, "archive"), "tiles.pmtiles")
     write_archive(_tiles(point_layer(spark, sf_dir, name), lo, hi), path, json.dumps({"name": name}), lo, hi, (-175.0, -80.0, 175.0, 80.0), (0.0, 0.0, 2))
     return path
 
 
 @query(f"WITH {fan_sql('supplier', 's_suppkey', 0, 4)} SELECT z, x, y, {_SUMS} FROM f GROUP BY z, x, y")
 def op_archive_roundtrip(spark, sf_dir):
-    folder = tempfile.mkdtemp(prefix="quadweave-archive-")
-    try:
-        back = _decoded(read_pmtiles(spark, _archive(spark, sf_dir, folder))).drop("layer")
-        return spark.createDataFrame(back.collect(), back.schema)  # a few hundred tiles; the file goes when this returns
-    finally:
-        shutil.rmtree(folder)
+    return _decoded(read_pmtiles(spark, _archive(spark, sf_dir))).drop("layer")
 
 
 @query(f"WITH {fan_sql('supplier', 's_suppkey', 0, 4)} SELECT 0 AS min_zoom, 4 AS max_zoom, count(DISTINCT (z, x, y)) AS addressed, 'supplier' AS name FROM f")
 def op_archive_inspect(spark, sf_dir):
-    folder = tempfile.mkdtemp(prefix="quadweave-archive-")
-    try:
-        row = inspect(spark, _archive(spark, sf_dir, folder)).first()
-    finally:
-        shutil.rmtree(folder)
-    return spark.createDataFrame([(row["min_zoom"], row["max_zoom"], row["addressed"], json.loads(row["metadata"])["name"])], "min_zoom int, max_zoom int, addressed long, name string")
+    return inspect(spark, _archive(spark, sf_dir)).select("min_zoom", "max_zoom", "addressed", F.get_json_object("metadata", "$.name").alias("name"))
 
 
 @query()
@@ -614,15 +610,11 @@ def op_bake_lines_polygons(spark, sf_dir):
 @query(f"WITH {fan_sql('supplier', 's_suppkey', 0, 3)} SELECT z, x, y, count(*) AS features FROM f GROUP BY z, x, y")
 def op_stream_tiles(spark, sf_dir):
     """Suppliers as two files of a stream: after the second, touched tiles hold the features of both."""
-    folder = tempfile.mkdtemp(prefix="quadweave-stream-")
-    try:
-        k = F.col("s_suppkey")
-        text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['), F.expr(lon_sql("s_suppkey")).cast("string"), F.lit(","), F.expr(lat_sql("s_suppkey")).cast("string"), F.lit(']},"properties":{"id":'), k.cast("string"), F.lit("}}"))
-        cfg = BakeConfig(layer="supplier", max_zoom=3)
-        for half in (0, 1):
-            table(spark, sf_dir, "supplier").where(k % 2 == half).select(text.alias("value")).write.mode("append").text(f"file://{folder}/in")
-            incremental.start(spark, f"file://{folder}/in", f"file://{folder}/pieces", f"file://{folder}/tiles", f"file://{folder}/checkpoint", cfg).awaitTermination()
-        rows = incremental.current_tiles(spark, f"file://{folder}/tiles").select("z", "x", "y", "features")
-        return spark.createDataFrame(rows.collect(), rows.schema)  # some hundred tiles; the folder goes when this returns
-    finally:
-        shutil.rmtree(folder)
+    folder = f"file://{shared_folder(spark, 'stream')}"
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['), F.expr(lon_sql("s_suppkey")).cast("string"), F.lit(","), F.expr(lat_sql("s_suppkey")).cast("string"), F.lit(']},"properties":{"id":'), k.cast("string"), F.lit("}}"))
+    cfg = BakeConfig(layer="supplier", max_zoom=3)
+    for half in (0, 1):
+        table(spark, sf_dir, "supplier").where(k % 2 == half).select(text.alias("value")).write.mode("append").text(f"{folder}/in")
+        incremental.start(spark, f"{folder}/in", f"{folder}/pieces", f"{folder}/tiles", f"{folder}/checkpoint", cfg).awaitTermination()
+    return incremental.current_tiles(spark, f"{folder}/tiles").select("z", "x", "y", "features")
