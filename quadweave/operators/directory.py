@@ -12,19 +12,50 @@ def blob_owners(tiles: DataFrame) -> DataFrame:
     return slim.groupBy("sha").agg(F.min("tile_id").alias("first_id"), F.first("length").alias("length"))
 
 
-def blob_offsets(owners: DataFrame, groups: int = 1024) -> DataFrame:
+def by_ranges(rows: DataFrame, key: str, groups: int = 256) -> DataFrame:
+    """rows with the column _cell: the number of the range of about equally many rows that the key falls into.
+
+    The bounds are approximate quantiles, so ranges are even however ids lie; a row finds its own in log2(groups) comparisons.
+    """
+    found = rows.agg(F.percentile_approx(key, [k / groups for k in range(1, groups)], 20 * groups)).first()[0]
+    bounds = sorted(set(found or []))
+
+    def place(lo: int, hi: int):
+        """The cell of a key that lies behind the first lo bounds and before those from hi on."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(key) <= F.lit(bounds[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return rows.withColumn("_cell", place(0, len(bounds)))
+
+
+def before_cells(rows: DataFrame, value, name: str) -> DataFrame:
+    """(_cell, name): the sum of a value over all earlier cells; one row for each cell."""
+    sums = rows.groupBy("_cell").agg(F.sum(value).alias("_sum"))
+    w = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("_cell", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias(name))
+
+
+def blob_offsets(owners: DataFrame, groups: int = 256) -> DataFrame:
     """owners with the offset at which each blob starts if blobs lie in the order of first_id.
 
-    Two levels: ids are cut into ranges of about equal width; sums of ranges are few and are added up first, then
-    each range is summed on its own, so no window holds all blobs.
+    Two levels: sums of ranges of ids are few and are added up first, then each range is summed on its own, so no
+    window holds all blobs.
     """
-    ends = owners.agg(F.min("first_id").alias("lo"), F.max("first_id").alias("hi"))
-    cell = F.floor((F.col("first_id") - F.col("lo")) / ((F.col("hi") - F.col("lo") + 1) / F.lit(float(groups)))).cast("int")
-    placed = owners.crossJoin(F.broadcast(ends)).withColumn("cell", cell).drop("lo", "hi")  # one row of bounds
-    sums = placed.groupBy("cell").agg(F.sum("length").alias("total"))
-    before = sums.withColumn("base", F.sum("total").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))).select("cell", F.coalesce("base", F.lit(0)).alias("base"))
-    inner = F.sum("length").over(Window.partitionBy("cell").orderBy("first_id")) - F.col("length")
-    return placed.join(F.broadcast(before), "cell").select("sha", "first_id", "length", (F.col("base") + inner).alias("offset"))
+    placed = by_ranges(owners, "first_id", groups)
+    inner = F.sum("length").over(Window.partitionBy("_cell").orderBy("first_id")) - F.col("length")
+    return placed.join(F.broadcast(before_cells(placed, "length", "_base")), "_cell").select("sha", "first_id", "length", (F.col("_base") + inner).alias("offset"))
+
+
+def with_previous(entries: DataFrame, groups: int = 256) -> DataFrame:
+    """entries with _cell and the id, offset and length of the entry before: windows per range, and the last rows of ranges."""
+    placed = by_ranges(entries, "tile_id", groups)
+    row = F.struct("tile_id", "offset", "length")
+    last = placed.groupBy("_cell").agg(F.max(row).alias("_last"))
+    prior = last.select("_cell", F.lag("_last").over(Window.orderBy("_cell")).alias("_prior"))  # one row for each range
+    own = F.lag(row).over(Window.partitionBy("_cell").orderBy("tile_id"))
+    return placed.withColumn("_own", own).join(F.broadcast(prior), "_cell").withColumn("_before", F.coalesce("_own", "_prior")).drop("_own", "_prior")
 
 
 def directory(tiles: DataFrame) -> DataFrame:
@@ -34,25 +65,36 @@ def directory(tiles: DataFrame) -> DataFrame:
     return slim.join(offsets, "sha").select("tile_id", "offset", "length", "sha")
 
 
-def with_runs(entries: DataFrame, partition: list[str] | None = None) -> DataFrame:
-    """(…, tile_id, run_length, offset, length): consecutive ids that share an offset become one entry."""
+def with_runs(entries: DataFrame, partition: list[str] | None = None, groups: int = 256) -> DataFrame:
+    """(…, tile_id, run_length, offset, length): consecutive ids that share an offset become one entry.
+
+    Runs are numbered inside ranges of ids, or inside each value of the partition columns, and go on across ranges.
+    """
+    if partition:
+        w = Window.partitionBy(*partition).orderBy("tile_id")
+        brk = F.coalesce(((F.col("tile_id") - F.lag("tile_id").over(w)) != 1) | (F.col("offset") != F.lag("offset").over(w)), F.lit(True))
+        marked = entries.withColumn("_n", F.sum(brk.cast("int")).over(w))
+    else:
+        b = F.col("_before")
+        seen = with_previous(entries, groups).withColumn("_brk", F.coalesce((F.col("tile_id") - b["tile_id"] != 1) | (F.col("offset") != b["offset"]), F.lit(True)).cast("long"))
+        inner = F.sum("_brk").over(Window.partitionBy("_cell").orderBy("tile_id"))
+        marked = seen.withColumn("_n", inner).join(F.broadcast(before_cells(seen, "_brk", "_base")), "_cell").withColumn("_n", F.col("_n") + F.col("_base"))
     by = partition or []
-    w = Window.partitionBy(*by).orderBy("tile_id") if by else Window.orderBy("tile_id")
-    brk = F.coalesce(((F.col("tile_id") - F.lag("tile_id").over(w)) != 1) | (F.col("offset") != F.lag("offset").over(w)), F.lit(True))
-    marked = entries.withColumn("_n", F.sum(brk.cast("int")).over(w))
     return marked.groupBy(*by, "_n").agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run_length"), F.min("offset").alias("offset"), F.min("length").alias("length")).drop("_n")
 
 
-def delta_encode(entries: DataFrame) -> DataFrame:
+def delta_encode(entries: DataFrame, groups: int = 256) -> DataFrame:
     """Directory columns as they are stored: id deltas, and 0 for an offset that follows the blob before it, else offset + 1."""
-    w = Window.orderBy("tile_id")
-    behind = F.lag(F.col("offset") + F.col("length")).over(w)
-    return entries.select("tile_id", (F.col("tile_id") - F.coalesce(F.lag("tile_id").over(w), F.lit(0))).alias("delta"), "length", F.when(F.col("offset") == behind, 0).otherwise(F.col("offset") + 1).alias("stored_offset"))
+    b = F.col("_before")
+    stored = F.when(F.col("offset") == b["offset"] + b["length"], 0).otherwise(F.col("offset") + 1)
+    return with_previous(entries, groups).select("tile_id", (F.col("tile_id") - F.coalesce(b["tile_id"], F.lit(0))).alias("delta"), "length", stored.alias("stored_offset"))
 
 
-def delta_decode(stored: DataFrame) -> DataFrame:
+def delta_decode(stored: DataFrame, groups: int = 256) -> DataFrame:
     """Ids from their deltas, in the order of column i."""
-    return stored.withColumn("tile_id", F.sum("delta").over(Window.orderBy("i")))
+    placed = by_ranges(stored, "i", groups)
+    inner = F.sum("delta").over(Window.partitionBy("_cell").orderBy("i"))
+    return placed.withColumn("_inner", inner).join(F.broadcast(before_cells(placed, "delta", "_base")), "_cell").withColumn("tile_id", F.col("_base") + F.col("_inner")).drop("_cell", "_base", "_inner")
 
 
 def lookup(ids: DataFrame, entries: DataFrame, cells: int = 4096) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quadweave.functions.geometry import to_mercator
 from quadweave.functions.values import drop_props, keep_props
 from quadweave.operators.tileset import cap_features, encode_tiles, tile_pieces
-from quadweave.plans.archive import write_archive
+from quadweave.plans.archive import shared_folder, write_archive
 from quadweave.plans.config import BakeConfig
 from quadweave.plans.manifest import layer_infos, manifest, manifest_json, union_box
 from quadweave.sources.archive_format import Header
@@ -47,11 +48,21 @@ def bake_tiles(layers: DataFrame | dict[str, DataFrame], cfg: BakeConfig | None
 
 
 def bake(layers: DataFrame | dict[str, DataFrame], path: str, cfg: BakeConfig | None = None, name: str | None = None) -> Header:
-    """Write an archive with its manifest; a layer without features is an error."""
+    """Write an archive with its manifest; a layer without features is an error.
+
+    Inputs are read once: their rows are written to the shared folder, and the manifest and the tiles read them there.
+    """
     cfg = cfg or BakeConfig()
-    rows, order = _layers(layers, cfg)
-    infos, boxes = layer_infos(rows, order)
-    bounds = union_box(boxes.values())
-    doc = manifest(name or order[0], cfg, infos, bounds)
-    tiles = encode_tiles(bake_pieces(rows, cfg), cfg.compression)
-    return write_archive(tiles, path, manifest_json(doc), cfg.min_zoom, cfg.max_zoom, bounds, tuple(doc["center"]), cfg.compression)
+    parsed, order = _layers(layers, cfg)
+    spark = parsed.sparkSession
+    work = shared_folder(spark, "rows", path)
+    try:
+        parsed.write.parquet(f"file://{work}/rows")
+        rows = spark.read.schema(parsed.schema).parquet(f"file://{work}/rows")
+        infos, boxes = layer_infos(rows, order)
+        bounds = union_box(boxes.values())
+        doc = manifest(name or order[0], cfg, infos, bounds)
+        tiles = encode_tiles(bake_pieces(rows, cfg), cfg.compression)
+        return write_archive(tiles, path, manifest_json(doc), cfg.min_zoom, cfg.max_zoom, bounds, tuple(doc["center"]), cfg.compression)
+    finally:
+        shutil.rmtree(work, ignore_errors=True)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quadweave.functions.curves import tile_id_of
 from quadweave.functions.geometry import box, line, point, coord
 from quadweave.functions.values import PROPS
-from quadweave.operators import directory, fanout, layer_schema
-from quadweave.operators.mvt import decode_tile
-from quadweave.operators.tileset import cap_features, encode_tiles, tile_pieces
+from quadweave.operators import directory, fanout, kernels, layer_schema
+from quadweave.operators.mvt import decode_geometry, decode_tile, encode_geometry
+from quadweave.operators.tileset import cap_features, encode_tiles, grown, tile_pieces, tile_rect
 from quadweave.plans import archive, bake, cli, serve
 from quadweave.plans.config import BakeConfig
 from quadweave.plans.manifest import tilejson
@@ -203,3 +203,57 @@ def test_coord_helper(spark):
 def test_neighbours_share_partitions(spark):
     ordered = fanout.sort_by_morton(flat(trio(spark).unionByName(cities(spark)))).select("morton", "fid").collect()
     assert [tuple(r) for r in ordered] == sorted(map(tuple, ordered)) and len(ordered) == 6
+
+
+def test_lines_and_polygons_match_clips_of_the_originals(spark):
+    # every tile cut, simplified and cut again from the whole feature, not from its parent tile
+    random.seed(11)
+    lines = [(i, [(random.uniform(-170, 170), random.uniform(-80, 80)) for _ in range(5)]) for i in range(12)]
+    shapes = spark.createDataFrame(lines, "fid long, c array<struct<x:double,y:double>>").select(F.lit("l").alias("layer"), "fid", line(F.col("c")).alias("geom"), F.array().cast(PROPS).alias("props"))
+    corner = lambda k: F.lit(-170.0) + (F.col("id") * k) % 300
+    boxes = spark.range(100, 112).select(F.lit("l").alias("layer"), F.col("id").alias("fid"), box(corner(37), F.lit(-60.0), corner(37) + 5 + F.col("id") % 30, F.lit(-60.0) + F.col("id")).alias("geom"), F.array().cast(PROPS).alias("props"))
+    rows = flat(shapes.unionByName(boxes))
+    got = {(r.fid, r.z, r.x, r.y): list(r.commands) for r in tile_pieces(rows, 0, 3).collect()}
+    want = {}
+    for r in rows.collect():
+        parts = [[[(c.x, c.y) for c in ring] for ring in p] for p in r.geom.parts]
+        for z in range(4):
+            tol = 2 * 20037508.3427892 / (1 << z) / 4096
+            for x in range(1 << z):
+                for y in range(1 << z):
+                    tile = tile_rect(z, x, y)
+                    cut = kernels.clip_simplify_clip(r.geom.kind, parts, grown(tile), tol)
+                    drawn = encode_geometry(*cut, tile)[1] if cut else []
+                    if drawn:
+                        want[r.fid, z, x, y] = drawn
+    assert got.keys() == want.keys() and len(got) > 300
+    shape = lambda c: sorted(map(sorted, decode_geometry(c)))
+    near = lambda a, b: len(a) == len(b) and all(len(p) == len(q) and all(abs(u - v) <= 1 for m, n in zip(p, q, strict=True) for u, v in zip(m, n, strict=True)) for p, q in zip(a, b, strict=True))
+    assert sum(near(shape(got[k]), shape(want[k])) for k in got) == len(got)
+
+
+@pytest.mark.parametrize("groups", [1, 4, 50])
+def test_directories_by_ranges(spark, groups):
+    random.seed(2)
+    ids = sorted(random.sample(range(300), 180) + list(range(10**9, 10**9 + 60)))
+    entries, at, last = [], 0, None
+    for t in ids:
+        if last is None or random.random() < 0.6:
+            last = (at, random.randrange(1, 9))
+            at += last[1]
+        entries.append((t, *last))
+    df = spark.createDataFrame(random.sample(entries, len(entries)), "tile_id long, offset long, length long")
+    runs = []
+    for t, o, n in entries:
+        if runs and runs[-1][0] + runs[-1][1] == t and runs[-1][2] == o:
+            runs[-1][1] += 1
+        else:
+            runs.append([t, 1, o, n])
+    assert sorted(map(list, directory.with_runs(df, groups=groups).select("tile_id", "run_length", "offset", "length").collect())) == runs
+    want = [(t, t - (entries[i - 1][0] if i else 0), n, 0 if i and entries[i - 1][1] + entries[i - 1][2] == o else o + 1) for i, (t, o, n) in enumerate(entries)]
+    stored = directory.delta_encode(df, groups)
+    assert sorted(map(tuple, stored.collect())) == want
+    numbered = spark.createDataFrame([(i, w[1]) for i, w in enumerate(want)], "i long, delta long")
+    assert sorted((r.i, r.tile_id) for r in directory.delta_decode(numbered, groups).collect()) == list(enumerate(ids))
+    owners = spark.createDataFrame([(str(o), t, n) for t, o, n in {o: (t, o, n) for t, o, n in reversed(entries)}.values()], "sha string, first_id long, length long")
+    assert all(int(r.sha) == r.offset for r in directory.blob_offsets(owners, groups).collect())
