@@ -63,6 +63,12 @@ def map_coords(g, fx, fy) -> Column:
     return geom(g["kind"], F.transform(g["parts"], lambda p: F.transform(p, lambda r: F.transform(r, lambda c: coord(fx(c["x"]), fy(c["y"]))))))
 
 
+def map_points(g, f) -> Column:
+    """Every coordinate by f(x, y) -> (x, y), for projections whose axes depend on one another."""
+    g = _c(g)
+    return geom(g["kind"], F.transform(g["parts"], lambda p: F.transform(p, lambda r: F.transform(r, lambda c: coord(*f(c["x"], c["y"]))))))
+
+
 def bbox(g) -> Column:
     """(minx, miny, maxx, maxy), null without coordinates."""
     xs = F.transform(coords_of(g), lambda c: c["x"])

@@ -1,4 +1,4 @@
-"""Coordinate systems: longitude and latitude are taken as they are, Web Mercator is projected back, others are refused."""
+"""Coordinate systems: longitude and latitude are taken as they are, Web Mercator and UTM are projected back, others are refused."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadweave.functions.geometry import map_coords
+from quadweave.functions.geometry import map_coords, map_points
 from quadweave.functions.mercator import x_to_lon, y_to_lat
+from quadweave.functions.utm import utm_to_degrees, utm_zone
 from quadweave.functions.values import detect_crs
 
 WGS84 = ("EPSG:4326", "OGC:CRS84", "CRS84")
@@ -62,7 +63,9 @@ def to_wgs84(rows: DataFrame, code: str | None) -> DataFrame:
         return rows
     if code.upper() in MERCATOR:
         return rows.withColumn("geom", map_coords("geom", x_to_lon, y_to_lat))
-    raise ValueError(f"{code} is not supported: convert the input to EPSG:4326 or EPSG:3857 first")
+    if (utm := utm_zone(code)) is not None:
+        return rows.withColumn("geom", map_points("geom", lambda x, y: utm_to_degrees(x, y, *utm)))
+    raise ValueError(f"{code} is not supported: convert the input to EPSG:4326, EPSG:3857 or a UTM zone of WGS84 first")
 
 
 def require_wgs84_prj(path: str) -> None:

@@ -218,3 +218,12 @@ def test_counts_are_projected_from_a_sample(spark, tmp_path):
     (tmp_path / "s.ndjson").write_text(line * 200)
     assert sampled_count(spark, f"{tmp_path}/s.ndjson", 10 * len(line) + 7) == 200
     assert sampled_count(spark, f"{tmp_path}/s.ndjson", 10**6) == 200
+
+
+def test_utm(spark, tmp_path):
+    # the meridian's arc to 45 degrees is 4,984,944.378 m; the CN Tower by its published coordinates
+    places = [(32631, 500000.0, 0.0, 3.0, 0.0, 1e-9), (32733, 500000.0, 1e7, 15.0, 0.0, 1e-9), (32601, 500000.0, 4984944.378 * 0.9996, -177.0, 45.0, 1e-8), (32617, 630084.0, 4833438.0, -79.387139, 43.642567, 2e-5)]
+    for code, x, y, lon, lat, off in places:
+        (tmp_path / f"{code}.ndjson").write_text(json.dumps({"type": "Feature", "crs": {"properties": {"name": f"EPSG:{code}"}}, "geometry": {"type": "Point", "coordinates": [x, y]}, "properties": {}}))
+        c = read_layer(spark, f"{tmp_path}/{code}.ndjson").first().geom.parts[0][0][0]
+        assert abs(c.x - lon) < off and abs(c.y - lat) < off
