@@ -41,6 +41,32 @@ def test_stages(spark, tmp_path):
 
 
 
+def test_odd_rows(spark, tmp_path):
+    """Repeated and null ids, null and very long texts, equal rows and clashing columns, against plain rules."""
+    text = lambda i, n=40: " ".join(random.Random(i).choices([f"w{j}" for j in range(900)], k=n))
+    bad = " blorgh snarfle grumbax"
+    rows = [(i, text(i), "s1") for i in range(30)] + [(200 + i, text(300 + i) + bad, "s1") for i in range(20)]
+    odd = [(1, text(500), "s0"), (1, text(501) + bad, "s0"), (2, text(502), None), (2, text(502), None), (None, text(503), "s0"), (None, text(504) + bad, "s0"), (None, None, None), (60, None, "s2"), (61, "", "s2"), (62, text(505, 30_000), "s2")]
+    cols = "doc_id long, text string, lang string, source string, n_chars long, fp string, kind int, h long, score double, size int, _h string"
+    made = spark.createDataFrame([(i, t, "en", s, 0, "x", 1, 2, 0.5, 3, "y") for i, t, s in rows + odd], cols)
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i >= 200)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), spark.read.parquet(f"{tmp_path}/documents.parquet").select(*corpus_pipeline.COLUMNS).schema)
+        seen.append(sorted(((r.doc_id, r.text, r.source) for r in docs.collect()), key=str))
+    clean = [(i, t, s) for i, t, s in rows + odd if bad not in (t or "")]
+    assert seen[0] == sorted(clean, key=str)  # only toxic texts went, whatever shares their id
+    one = [x for n, x in enumerate(clean) if x[0] is None or (x not in clean[:n] and x[0] != 61)]  # 60 and 61 are one group, without text
+    assert seen[1] == sorted(one, key=str)
+    assert seen[2] == seen[1]  # no personal data
+    plan = {}
+    for r in mixing.mix_sources(spark.createDataFrame(one, "doc_id long, text string, source string"), keep=["text"]).collect():
+        plan[r.doc_id, r.text, r.source] = plan.get((r.doc_id, r.text, r.source), 0) + (r.taken // r.size if r.size else 1)
+    assert seen[3] == sorted([x for x, n in plan.items() for _ in range(n)], key=str)
+
+
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
