@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -74,17 +75,16 @@ def term_weights(df: np.ndarray, total: int, toxic: np.ndarray, clean: np.ndarra
 class Index:
     """Examples as unit TF-IDF vectors, in blocks of like ones.
 
-    common holds the weights of the frequent words as a matrix of examples and words, most their greatest in each
-    block; the other words have lists of (example, weight), one after the other, from starts[word] on.
+    dense holds the weights of the frequent words as (example, word, weight), of which matrices() makes a matrix and
+    the greatest in each block; the other words have lists of (example, weight), one after the other, from starts[word] on.
     """
 
     at: dict[str, int]
     weight: np.ndarray
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
-    common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of a word in common, or -1
+    dense: tuple = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), (0, 0))
+    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of a word among the frequent ones, or -1
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     posts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     post_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -94,45 +94,62 @@ class Index:
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
     blocks_asked: int = 0
     blocks_met: int = 0
+    _matrices: tuple[np.ndarray, np.ndarray] | None = None
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """(words, unit weights) of those of the counts that the index knows and that have a weight."""
         known = [(self.at[w], n) for w, n in counts.items() if w in self.at]
         if not known:
             return np.zeros(0, np.int64), np.zeros(0)
-        at, n = map(np.array, zip(*known, strict=True))
+        return self.weighed(*map(np.array, zip(*known, strict=True)))
+
+    def weighed(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, unit weights) of words that are there n times; those without weight are left out."""
         w = (1 + np.log(n)) * self.weight[at]
         size = np.sqrt((w * w).sum())
         at, w = at[w > 0], w[w > 0]
         return (at, w / size) if len(at) else (at, w)
 
-    def build(self, examples: list[tuple[int, int, dict[str, int]]], frequent: float = FREQUENT) -> Index:
-        """examples: (doc_id, label, counts)."""
-        vectors = [(*self.vector(c), i, y) for i, y, c in examples]
+    def build(self, ids: np.ndarray, labels: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], frequent: float = FREQUENT) -> Index:
+        """texts: the (words, counts) of every example. Weights are kept in single precision."""
+        vectors = [self.weighed(*t) for t in texts]
         n, f = len(vectors), len(self.weight)
         size = np.array([len(v[0]) for v in vectors], np.int64)
-        row = np.repeat(np.arange(n), size)
-        word = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
-        value = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
+        row = np.repeat(np.arange(n, dtype=np.int32), size)
+        word = np.concatenate([v[0] for v in vectors]).astype(np.int32) if n else np.zeros(0, np.int32)
+        value = np.concatenate([v[1] for v in vectors]).astype(np.float32) if n else np.zeros(0, np.float32)
+        del vectors
         times = np.bincount(word, minlength=f)
         often = np.flatnonzero(times > max(BLOCK, frequent * n))
         self.column = np.full(f, -1, np.int32)
         self.column[often] = np.arange(len(often))
         inside = self.column[word] >= 0
-        common = np.zeros((n, len(often)))
+        common = np.zeros((n, len(often)), np.float32)
         common[row[inside], self.column[word[inside]]] = value[inside]
         order = halves(common, np.arange(n))
-        place = np.argsort(order)
-        self.common = common[order]
-        self.ids = np.array([vectors[k][2] for k in order], np.int64)
-        self.labels = np.array([vectors[k][3] for k in order], np.int8)
-        self.most = np.stack([self.common[k : k + BLOCK].max(0) for k in range(0, n, BLOCK)]) if n else np.zeros((0, len(often)))
+        del common
+        place = np.argsort(order).astype(np.int32)
+        self.ids, self.labels = ids[order].astype(np.int64), labels[order].astype(np.int8)
+        self.dense = place[row[inside]], self.column[word[inside]].astype(np.int32), value[inside], (n, len(often))
         row, word, value = place[row[~inside]], word[~inside], value[~inside]
         by_word = np.lexsort((row, word))
-        self.posts, self.post_weights = row[by_word].astype(np.int32), value[by_word]
+        self.posts, self.post_weights = row[by_word], value[by_word]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=f))])
         return self
 
+    def matrices(self) -> tuple[np.ndarray, np.ndarray]:
+        """(weights of the frequent words, their greatest in each block), made where the index is used: it travels without."""
+        if self._matrices is None:
+            row, column, value, shape = self.dense
+            common = np.zeros(shape)
+            common[row, column] = value
+            starts = range(0, shape[0], BLOCK)
+            self._matrices = common, np.stack([common[k : k + BLOCK].max(0) for k in starts]) if shape[0] else np.zeros(shape)
+        return self._matrices
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_matrices": None}
+
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """Of every vector the k examples of greatest cosine over 0, exactly. Ties go to the smaller place in the index.
 
@@ -143,7 +160,8 @@ class Index:
         if not n or not m:
             return [[] for _ in vectors]
         blocks = -(-n // BLOCK)
-        score, common = np.zeros((m, n)), np.zeros((m, self.common.shape[1]))
+        frequent, most = self.matrices()
+        score, common = np.zeros((m, n)), np.zeros((m, frequent.shape[1]))
         for d, (at, w) in enumerate(vectors):
             column = self.column[at]
             rare = column < 0
@@ -153,7 +171,7 @@ class Index:
             if sizes.any():
                 read = np.repeat(lows - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
                 score[d] = np.bincount(self.posts[read], self.post_weights[read] * np.repeat(w[rare], sizes), n)
-        bound = np.maximum.reduceat(score, np.arange(0, n, BLOCK), axis=1) + common @ self.most.T
+        bound = np.maximum.reduceat(score, np.arange(0, n, BLOCK), axis=1) + common @ most.T
         first = np.zeros((m, blocks), bool)
         np.put_along_axis(first, np.argpartition(-bound, min(FIRST_BLOCKS, blocks) - 1, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
         first &= bound > 0
@@ -163,7 +181,7 @@ class Index:
             self.blocks_asked += int(which.sum())
             for b in np.flatnonzero(which.any(0)):
                 d, own = np.flatnonzero(which[:, b]), slice(b * BLOCK, min(n, (b + 1) * BLOCK))
-                whole[d, own] = score[d, own] + common[d] @ self.common[own].T
+                whole[d, own] = score[d, own] + common[d] @ frequent[own].T
             if without is not None:
                 whole[np.arange(m), without] = -1.0
 
@@ -243,8 +261,8 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES) -> Index:
-    """Learn the index from rows that are labelled and not held out; document frequencies are over all documents."""
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES) -> tuple[Broadcast, tuple[np.ndarray, np.ndarray]]:
+    """(broadcast index, calibration), learned from rows that are labelled and not held out; document frequencies are over all documents."""
     spark = docs.sparkSession
     small_batches(spark)
     text = F.col(f"`{text_col}`")
@@ -272,15 +290,20 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
     joined = rows.join(F.broadcast(drawn), ["doc_id", "h"]).select("doc_id", "h", "toxic", "text")
     made = durable(joined.mapInArrow(read, "doc_id long, h long, toxic int, k1 long, k2 long, words array<string>, counts array<long>").dropDuplicates(["doc_id", "h", "toxic"]))
-    table = made.toArrow()  # one row for each example, bounded by max_examples
-    found = {(i, y): (w, c) for i, y, w, c in zip(*[table[n].to_pylist() for n in ("doc_id", "toxic", "words", "counts")], strict=True)}
+    table = made.toArrow().sort_by("doc_id")  # one row for each example, bounded by max_examples
     # near copies mostly share one of two least shingles; they count once too, or all their words would look toxic
-    taken = one_of_copies(list(zip(*[table[n].to_pylist() for n in ("doc_id", "toxic", "k1", "k2")], strict=True)))
-    n, n1 = len(taken), sum(y for _, y in taken)
-    a, b = Counter(), Counter()
-    for key in taken:
-        (a if key[1] else b).update(found[key][0])
-    names = sorted(a.keys() | b.keys())
+    taken = set(one_of_copies(list(zip(*[table[n].to_pylist() for n in ("doc_id", "toxic", "k1", "k2")], strict=True))))
+    table = table.filter(pa.array([key in taken for key in zip(table["doc_id"].to_pylist(), table["toxic"].to_pylist(), strict=True)], pa.bool_()))
+    ids, label = table["doc_id"].to_numpy(), table["toxic"].to_numpy()
+    lists, times = table["words"].combine_chunks(), table["counts"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
+    flat = lists.flatten().dictionary_encode()
+    names = flat.dictionary.to_pylist()
+    word, times = flat.indices.to_numpy(), times.flatten().to_numpy()
+    del table, lists, flat
+    n, n1 = len(ids), int(label.sum())
+    of = np.repeat(label, sizes)
+    a, b = (np.bincount(word[of == y], minlength=len(names)).astype(float) for y in (1, 0))
     at = {w: k for k, w in enumerate(names)}
     held = spark.sparkContext.broadcast(at)
 
@@ -298,13 +321,14 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     counts = rows.select("text").mapInArrow(frequencies, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(names) + 1, np.int64)
     df[counts["word"].to_numpy()] = counts["n"].to_numpy()
-    count_of = lambda c: np.array([c[w] for w in names], float)
+    held.destroy()
     prior = (size.get(1, 0) + 0.1) / (sum(size.values()) + 1)
-    out = Index(at, term_weights(df[:-1], int(df[-1]), count_of(a), count_of(b), n1, n - n1), prior=prior)
+    out = Index(at, term_weights(df[:-1], int(df[-1]), a, b, n1, n - n1), prior=prior)
     out.share = (size.get(0, 0) / max(1, n - n1), size.get(1, 0) / max(1, n1))
-    blank = [sum(1 for key in taken if key[1] == y and not found[key][0]) for y in (0, 1)]
+    blank = [int(((sizes == 0) & (label == y)).sum()) for y in (0, 1)]
     out.empty = (blank[1] * out.share[1] + prior) / (blank[0] * out.share[0] + blank[1] * out.share[1] + 1)
-    ready = spark.sparkContext.broadcast(out.build([(*key, dict(zip(*found[key], strict=True))) for key in taken]))
+    ends = np.cumsum(sizes)
+    ready = spark.sparkContext.broadcast(out.build(ids, label, [(word[e - k : e], times[e - k : e]) for k, e in zip(sizes, ends, strict=True)]))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, AT_ONCE):
@@ -313,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.float64()), pa.array([y for _, y in got], pa.int32())], ["vote", "toxic"])
 
     voted = made.select("doc_id", "toxic", "words", "counts").mapInArrow(vote, "vote double, toxic int").collect()  # one row for each example
-    return out.calibrate([tuple(r) for r in voted])
+    return ready, out.calibrate([tuple(r) for r in voted]).steps
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES, keep: Sequence[str] = ()) -> DataFrame:
@@ -326,12 +350,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
     one is, and a label holds for every text of its doc_id. The broadcast index is bounded by max_examples texts of
     MAX_EXAMPLE_CHARS characters: it holds all of their words.
     """
-    index = fit(docs, labels, text_col, id_col, max_examples)
-    held = docs.sparkSession.sparkContext.broadcast(index)
+    held, steps = fit(docs, labels, text_col, id_col, max_examples)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
+        own.steps = steps  # found after the index was sent
         for b in slices(batches, AT_ONCE):
             scores, why = [], []
             for s, found in own.score([words_of(t.as_py()) for t in b.column(1)]):

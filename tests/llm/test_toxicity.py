@@ -61,7 +61,9 @@ def sample_index(n=1500, words=300, seed=2, topics=1):
     examples = [(i, int(rng.integers(2)), make()) for i in range(n)]
     df = np.array([sum(w in c for *_, c in examples) for w in names], float)
     weight = toxicity.term_weights(df, n, df / 2, df / 2, n // 2, n - n // 2)
-    return toxicity.Index({w: k for k, w in enumerate(names)}, weight).build(examples), examples, make
+    index = toxicity.Index({w: k for k, w in enumerate(names)}, weight)
+    texts = [(np.array([index.at[w] for w in c]), np.array(list(c.values()))) for *_, c in examples]
+    return index.build(np.array([i for i, *_ in examples]), np.array([y for _, y, _ in examples]), texts), examples, make
 
 
 def test_search_is_exact():
@@ -122,7 +124,7 @@ def test_every_word_of_the_examples_counts(spark):
     toxic = set(learned[:48])
     docs = [(i, " ".join(random.choices(vocab, k=60) + ["vexnor"] * (i in learned[:4]))) for i in learned]
     labels = spark.createDataFrame([(i, int(i in toxic)) for i in learned], "doc_id long, toxic int")
-    index = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    index = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)[0].value
     assert set(index.at) == {w for _, t in docs for w in t.split()}
     assert index.weight[index.at["vexnor"]] > 2 * np.log(701 / 5)
 
@@ -130,7 +132,7 @@ def test_every_word_of_the_examples_counts(spark):
 def test_a_draw_of_both_labels_stands_for_all(spark):
     rows = corpus(400)
     docs, labels = frames(spark, rows)
-    index = toxicity.fit(docs, labels, max_examples=40)
+    index = toxicity.fit(docs, labels, max_examples=40)[0].value
     assert index.labels.sum() == 20 and len(index.labels) == 40
     assert index.share[0] > 3 * index.share[1] >= 3
     assert abs(index.prior - 1 / 4) < 0.1  # every second row has a label, every eighth is toxic
