@@ -27,8 +27,8 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Up to this length a chunk's agenda is a plain list, which is faster there than a heap.
 SHORT = 40
 #: Chunks that a worker keeps in each of two generations, and texts that it encodes at a time.
-KEPT_CHUNKS = 250_000
-AT_ONCE = 384
+KEPT_CHUNKS = 120_000
+AT_ONCE = 256
 
 
 class TwoAges(dict):
