@@ -8,6 +8,11 @@ text is in as many shards whatever the size of the corpus. A crowded shard is sp
 In each shard a BK-tree over 128 fingerprint bits finds the pairs within the radius. Texts that such pairs join,
 directly or not, form a cell; a cell's shingle sets meet once in one task, which confirms pairs by exact
 similarity. Cells beyond a bound of bytes are confirmed shard by shard, and crowded shards block by block.
+
+Pairs beyond the radius, and pairs that share none of the least hashes, are found by an exact way afterwards: of two
+similar sets the first shingles, in any order that all sets share, have one in common (prefixes, Chaudhuri et al. 2006).
+Only shingles that sets of different classes have in their prefixes are looked at; their sizes and the parities of
+their hashes rule out most pairs without losing one, and the others are compared as sets.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadweave.llm.common import Forest, durable, runs, slices, small_batches, whole_groups
@@ -36,6 +41,13 @@ SHINGLES = 2_000_000
 SLACK = 2.5
 #: Keys that are broadcast at most; beyond that the join is shuffled.
 MAX_BROADCAST_IDS = 1_000_000
+#: Texts of the sample that tells which shingles are frequent, the share of them from which on one is, and how many are
+#: kept. Frequent ones come last in the order of prefixes; which they are changes what is compared, not what is found.
+SAMPLE = 4000
+FREQUENT = 0.002
+MAX_FREQUENT = 50_000
+#: Bits of the parities of a set's hashes.
+PARITIES = 512
 LEAF = 256
 #: Words of 64 bits that are compared at once when pairs are confirmed.
 WORDS_AT_ONCE = 1 << 20
@@ -176,23 +188,63 @@ def forest(fps: np.ndarray, radius: int, side: np.ndarray, grp: np.ndarray, sets
     return out
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h, kind, n, f1, f2, mins) of (doc_id, h, text): kind is equal for equal shingle sets of n shingles;
-    f1 and f2 are 128 fingerprint bits of the set; mins are its DRAWS least hashes, null for an empty set."""
+def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that many of a sample of the texts have, by (doc_id, h, text)."""
+    step = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["s"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(step)) == 0).select("text").mapInArrow(run, "s long")
+    often = sample.groupBy("s").count().where(F.col("count") >= max(4, FREQUENT * SAMPLE)).orderBy(F.desc("count"), "s").limit(MAX_FREQUENT)
+    return np.sort(often.toArrow()["s"].to_numpy().view(np.uint64))
+
+
+def prefix(h: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """32 bits of those shingles of a sorted set of which any set of at least the similarity has one in its own prefix."""
+    if len(frequent):
+        last = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+        h = np.concatenate([h[~last], h[last]])
+    return (h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def parities(h: np.ndarray, least: int = PARITIES) -> np.ndarray:
+    """For each of 2 ** k classes of hashes, at least as many and twice the hashes, whether their number is odd: as many
+    differ at most as shingles do. Bytes; the halves of a longer value make a shorter one."""
+    classes = max(least, 1 << (2 * len(h) - 1).bit_length() if len(h) else 1)
+    return np.packbits(np.bincount((h & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1)
+
+
+def folded(odd: np.ndarray, size: int) -> np.ndarray:
+    while len(odd) > size:
+        odd = odd[: len(odd) // 2] ^ odd[len(odd) // 2 :]
+    return odd
+
+
+def sketches(docs: DataFrame, words: int, similarity: float = 0.8, frequent: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, h, kind, n, f1, f2, mins, prefix, odd, odds) of (doc_id, h, text): kind is equal for equal shingle sets of n
+    shingles; f1 and f2 are 128 fingerprint bits of the set; mins are its DRAWS least hashes, null for an empty set;
+    prefix and odds are prefix() and parities(), odd the latter in PARITIES bits."""
+    frequent = np.zeros(0, np.uint64) if frequent is None else frequent
     odd = np.random.default_rng(17).integers(1, 1 << 63, DRAWS, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows, mins = [], []
+            rows, mins, first, signs, short = [], [], [], [], []
             for t in b.column(2):
                 h = np.unique(shingle_hashes(t.as_py(), words))
                 g = _mix(h)
                 rows.append((xxhash.xxh64_intdigest(h.tobytes(), 9), len(h), fingerprint(h), fingerprint(g)))
                 mins.append([int((g * m).min()) - (1 << 63) for m in odd] if len(h) else None)
+                first.append(prefix(h, frequent, similarity) if len(h) else None)
+                signs.append(parities(h))
+                short.append(folded(signs[-1], PARITIES // 8).tobytes())
             u = np.array(rows, np.uint64).reshape(len(rows), 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(u[:, i]) for i in range(4)], pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "h", "kind", "n", "f1", "f2", "mins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(u[:, i]) for i in range(4)], pa.array(mins, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int32())), pa.array(short, pa.binary()), pa.array([v.tobytes() for v in signs], pa.binary())], ["doc_id", "h", "kind", "n", "f1", "f2", "mins", "prefix", "odd", "odds"])
 
-    return docs.mapInArrow(run, "doc_id long, h long, kind long, n long, f1 long, f2 long, mins array<long>")
+    return docs.mapInArrow(run, "doc_id long, h long, kind long, n long, f1 long, f2 long, mins array<long>, prefix array<int>, odd binary, odds binary")
 
 
 def shards(kinds: DataFrame, draws: int = DRAWS, depth: int = DEPTH, crowded: int = CROWDED) -> DataFrame:
@@ -293,9 +345,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text_col).alias("h"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null")
-    by_doc = durable(sketches(rows, words))
+    by_doc = durable(sketches(rows, words, similarity, frequent_shingles(rows, words)))
     least = F.min(F.struct("doc_id", "h")).alias("least")
-    kinds = durable(by_doc.groupBy("kind").agg(least, *[F.first(c).alias(c) for c in ("n", "f1", "f2", "mins")]))
+    kinds = durable(by_doc.groupBy("kind").agg(least, *[F.first(c).alias(c) for c in ("n", "f1", "f2", "mins", "odd", "odds")]))
     radius = radius_of(similarity)
     # which texts come near to one another at all, and the cells that they form
     placed = shards(kinds, crowded=CROWDED)
@@ -316,13 +368,81 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
         parts = again.groupBy("shard").agg(F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / CROWDED)).alias("parts"), F.count("*").alias("members")).where("members > 1")
         again = durable(again.join(parts, "shard").select("kind", "f1", "f2", "shard", "parts"))
         named = named.unionByName(components(_search(again, lambda cells: _cells(cells.join(sets, "kind"), radius, similarity))[0]))
-    named = named.join(kinds.select(F.col("kind").alias("node"), "least"), "node").select(F.col("node").alias("kind"), "root", "least")
+    held = durable(kinds.select("kind", "n", "least", "odd").join(named.select(F.col("node").alias("kind"), "root"), "kind", "left").withColumn("root", F.coalesce("root", "kind")))
+    rest = _rest(rows, by_doc, kinds, held, words, similarity, repeated)
+    if rest is not None:
+        held = held.join(components(rest).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("root", F.coalesce("to", "root"))
+    named = held.select("kind", "root", "least")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("first")), "root").select("kind", "first")
     classes = kinds.select("kind", "least").join(named, "kind", "left").select("kind", F.coalesce("first", "least").alias("first"))
     out = by_doc.select("doc_id", "h", "kind").join(durable(classes), "kind")
     return out.select("doc_id", "h", F.col("first.doc_id").alias("group_id"), (F.struct("doc_id", "h") == F.col("first")).alias("kept"))
 
 
+def _rest(rows: DataFrame, by_doc: DataFrame, kinds: DataFrame, held: DataFrame, words: int, similarity: float, repeated: bool) -> DataFrame | None:
+    """(a, b): classes (roots of held) that a pair of similar sets joins, every such pair looked at; None without any."""
+    one = by_doc.select("doc_id", "h", "kind", "prefix").join(held.select("kind", "root", "least"), "kind").where("struct(doc_id, h) = least")
+    tokens = one.select("kind", "root", F.explode("prefix").alias("token"))
+    same = Window.partitionBy("token")
+    mixed = tokens.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same), "m": F.count("*").over(same)}).where("lo <> hi")
+    mixed = durable(mixed.select("token", "kind", "root", F.ceil(F.col("m") / CROWDED).alias("parts")))
+    # members of a crowded token in blocks: each pair of blocks is a cell, in which only pairs across are looked at
+    block = mixed.withColumn("block", F.pmod(F.xxhash64("kind", "token"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    cells = block.select("kind", "root", F.xxhash64("token", F.least("block", "with"), F.greatest("block", "with")).alias("cell"), (F.col("block") > F.col("with")).cast("int").alias("side"), (F.col("block") == F.col("with")).alias("own"))
+    cells = cells.join(held.select("kind", "n", "odd"), "kind")
+    apart = (1 - similarity) / (1 + similarity)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in whole_groups(batches, "cell"):
+            kind, root, n, side, own = (pdf[c].to_numpy() for c in ("kind", "root", "n", "side", "own"))
+            odd = np.frombuffer(b"".join(pdf["odd"]), np.uint64).reshape(len(pdf), -1)
+            out = []
+            for lo, hi in zip(*runs(pdf["cell"].to_numpy()), strict=True):
+                step = max(1, 100_000 // (hi - lo))
+                for s in range(lo, hi, step):
+                    i, j = np.nonzero((root[s : min(s + step, hi), None] != root[None, lo:hi]) & (np.arange(s, min(s + step, hi))[:, None] < np.arange(lo, hi)))
+                    i, j = i + s, j + lo
+                    some = (own[i] | (side[i] != side[j])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+                    i, j = i[some], j[some]
+                    some = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= apart * (n[i] + n[j]) + 1e-9
+                    i, j = i[some], j[some]
+                    if len(i):
+                        turn = kind[i] > kind[j]
+                        i, j = np.where(turn, j, i), np.where(turn, i, j)
+                        out.append(np.array([kind[i], kind[j], root[i], root[j]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["a", "b", "ra", "rb"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = (b.column("na").to_numpy() + b.column("nb").to_numpy()) * apart + 1e-9
+            both = [[np.frombuffer(v.as_py(), np.uint8) for v in b.column(c)] for c in ("oa", "ob")]
+            differ = [int(np.bitwise_count(folded(x, len(y)) ^ folded(y, len(x))).sum(dtype=np.int64)) for x, y in zip(*both, strict=True)]
+            yield b.select(["a", "b", "ra", "rb"]).filter(pa.array(np.array(differ, np.int64) <= size))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            x, y = b.column("sa"), b.column("sb")
+            met = np.array([len(np.intersect1d(u.values.to_numpy(), v.values.to_numpy(), assume_unique=True)) for u, v in zip(x, y, strict=True)], np.int64)
+            size = x.value_lengths().to_numpy().astype(np.int64) + y.value_lengths().to_numpy()
+            yield b.select(["ra", "rb"]).filter(pa.array(met / (size - met) >= similarity))
+
+    pairs = durable(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(find, "a long, b long, ra long, rb long").distinct())
+    if pairs.isEmpty():
+        return None
+    # the longer parities before the sets, which are many times their size
+    of = kinds.select("kind", "n", "odds")
+    pairs = durable(pairs.join(of.toDF("a", "na", "oa"), "a").join(of.toDF("b", "nb", "ob"), "b").mapInArrow(near, "a long, b long, ra long, rb long"))
+    if pairs.isEmpty():
+        return None
+    asked = pairs.select(F.col("a").alias("kind")).unionByName(pairs.select(F.col("b").alias("kind"))).distinct()
+    keys = durable(asked.join(held, "kind").select("least.doc_id", "least.h", "kind"))
+    sets = durable(_sets(with_keys(rows, keys, ["doc_id", "h"], "inner"), words, repeated))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("ra", "rb", "sa", "sb")
+    links = durable(both.mapInArrow(similar, "ra long, rb long").distinct().toDF("a", "b"))
+    return None if links.isEmpty() else links
+
+
 def _sets(rows: DataFrame, words: int, repeated: bool) -> DataFrame:
     """(kind, s) of (kind, text): the sorted set of shingle hashes, once for each kind. repeated: rows may be equal."""
 

@@ -140,6 +140,33 @@ def test_near_duplicate_groups_match_brute_force(spark, monkeypatch, bounds):
         assert want[a] == want[got[a]]
 
 
+@pytest.mark.parametrize("bounds", [{}, {"CROWDED": 3, "SAMPLE": 20}, {"FREQUENT": 1e-9, "MAX_FREQUENT": 300}])
+def test_pairs_that_the_search_misses_are_found(spark, monkeypatch, bounds):
+    # one least hash and a radius of 13 bits: most pairs are missed, and the exact way has to find them all
+    for name, value in ({"DRAWS": 1, "SLACK": -3.0} | bounds).items():
+        monkeypatch.setattr(near_text, name, value)
+    common = " ".join(f"every{i}" for i in range(30))
+    rows = near_texts() + [(5000 + i, f"{common} " + " ".join(random.Random(i).choices(["p", "q", "r", "s"], k=6))) for i in range(40)]
+    got = {r.doc_id: r.group_id for r in near_text.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_prefixes_of_similar_sets_meet_and_parities_bound_their_difference():
+    rng = np.random.default_rng(3)
+    for n in [1, 2, 4, 5, 9, 10, 50, 251]:
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            out = rng.integers(0, n // 9 + 2)
+            b = np.unique(np.concatenate([rng.choice(a, max(1, len(a) - out), replace=False), rng.integers(0, 1 << 63, rng.integers(0, n // 9 + 2), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            often = np.unique(rng.choice(np.union1d(a, b), rng.integers(0, len(a) + 1)))
+            if both / (len(a) + len(b) - both) >= 0.8:
+                assert np.intersect1d(near_text.prefix(a, often, 0.8), near_text.prefix(b, often, 0.8)).size
+            x, y = (near_text.parities(v, least=8) for v in (a, b))
+            assert np.bitwise_count(near_text.folded(x, len(y)) ^ near_text.folded(y, len(x))).sum() <= len(a) + len(b) - 2 * both
+            assert near_text.folded(near_text.parities(a, least=1024), 16).tolist() == near_text.folded(near_text.parities(a, least=128 * 4), 16).tolist()
+
+
 def test_deeper_shards_and_blocks_lose_no_pair(spark):
     # kinds that share all hashes but one, in turn
     rows = [(k, 0, 0, [k * 100 + t if t == k % 6 else t for t in range(6)]) for k in range(40)]
