@@ -41,11 +41,11 @@ SHINGLES = 2_000_000
 SLACK = 2.5
 #: Keys that are broadcast at most; beyond that the join is shuffled.
 MAX_BROADCAST_IDS = 1_000_000
-#: Texts of the sample that tells which shingles are frequent, the share of them from which on one is, and how many are
+#: Texts of the sample that tells which shingles are frequent, the texts of it from which on one is, and how many are
 #: kept. Frequent ones come last in the order of prefixes; which they are changes what is compared, not what is found.
-SAMPLE = 4000
-FREQUENT = 0.002
-MAX_FREQUENT = 50_000
+SAMPLE = 20_000
+FREQUENT = 3
+MAX_FREQUENT = 200_000
 #: Bits of the parities of a set's hashes.
 PARITIES = 512
 LEAF = 256
@@ -188,8 +188,8 @@ def forest(fps: np.ndarray, radius: int, side: np.ndarray, grp: np.ndarray, sets
     return out
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of shingles that many of a sample of the texts have, by (doc_id, h, text)."""
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, texts) of shingles that several of a sample of the texts (doc_id, h, text) have."""
     step = max(1, docs.count() // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,15 +198,18 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["s"])
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(step)) == 0).select("text").mapInArrow(run, "s long")
-    often = sample.groupBy("s").count().where(F.col("count") >= max(4, FREQUENT * SAMPLE)).orderBy(F.desc("count"), "s").limit(MAX_FREQUENT)
-    return np.sort(often.toArrow()["s"].to_numpy().view(np.uint64))
+    often = sample.groupBy("s").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MAX_FREQUENT)
+    table = often.toArrow()
+    order = np.argsort(hashes := table["s"].to_numpy().view(np.uint64))
+    return hashes[order], table["count"].to_numpy()[order]
 
 
-def prefix(h: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+def prefix(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
     """32 bits of those shingles of a sorted set of which any set of at least the similarity has one in its own prefix."""
-    if len(frequent):
-        last = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
-        h = np.concatenate([h[~last], h[last]])
+    hashes, texts = frequent
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        h = h[np.argsort(np.where(hashes[at] == h, texts[at], 0), kind="stable")]
     return (h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -223,11 +226,11 @@ def folded(odd: np.ndarray, size: int) -> np.ndarray:
     return odd
 
 
-def sketches(docs: DataFrame, words: int, similarity: float = 0.8, frequent: np.ndarray | None = None) -> DataFrame:
+def sketches(docs: DataFrame, words: int, similarity: float = 0.8, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(doc_id, h, kind, n, f1, f2, mins, prefix, odd, odds) of (doc_id, h, text): kind is equal for equal shingle sets of n
     shingles; f1 and f2 are 128 fingerprint bits of the set; mins are its DRAWS least hashes, null for an empty set;
     prefix and odds are prefix() and parities(), odd the latter in PARITIES bits."""
-    frequent = np.zeros(0, np.uint64) if frequent is None else frequent
+    frequent = frequent or (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     odd = np.random.default_rng(17).integers(1, 1 << 63, DRAWS, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
