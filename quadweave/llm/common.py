@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -10,6 +11,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +62,35 @@ def durable(df: DataFrame) -> DataFrame:
     folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    give_back(spark)
+    return out
+
+
+def give_back(spark: SparkSession) -> None:
+    """Return native memory that is free again to the system: the driver's allocators keep what compiled plans, sent
+    tables and broadcasts took, the more the more jobs ran. Where there is no way to ask for that, they go on keeping it."""
+    pa.default_memory_pool().release_unused()
+    if os.name == "posix" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        args = array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+        # by the interface: the server's own class is closed to callers
+        methods = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods()
+        invoke = next(m for m in methods if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        pass  # another JVM, an older one, or another C library
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """Write whole texts as a Parquet table in the shared folder; the table read back, and its path."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    give_back(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -1,9 +1,13 @@
+import gc
+import os
 import random
+import time
+from pathlib import Path
 
 import corpus_pipeline
 import sentencepiece
 from quadweave.llm import mixing
-from quadweave.llm.common import tokenizer_path
+from quadweave.llm.common import durable, tokenizer_path
 
 
 def test_stages(spark, tmp_path):
@@ -71,3 +75,18 @@ def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_driver_gives_native_memory_back(spark):
+    """What the driver's JVM has freed doesn't stay with its allocator once a stage's intermediate table is there."""
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+    resident = lambda: int(Path(f"/proc/{pid}/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    taken = [spark._jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(4000)]
+    taken = taken[::50]  # those that stay keep the allocator from shrinking by itself
+    gc.collect()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(1)
+    before = resident()
+    assert durable(spark.range(10)).count() == 10
+    assert resident() < before - 100, len(taken)
