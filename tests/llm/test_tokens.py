@@ -34,6 +34,66 @@ def test_heap_and_list_agendas_agree(monkeypatch):
         monkeypatch.undo()
 
 
+def letters(n, seed=1):
+    random.seed(seed)
+    return ["".join(random.choices("etaoinshrdlu" + "ABCéß", k=random.randint(1, 50))) for _ in range(n)]
+
+
+def test_many_chunks_are_encoded_in_arrays(monkeypatch):
+    """One agenda for each chunk took more than the CPU budget; only chunks that don't fit are encoded by themselves."""
+    own, lib = bpe.Agenda(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [" ".join(letters(40, k)) for k in range(20)]
+    alone, plain = [], own.chunk_ids
+    monkeypatch.setattr(own, "chunk_ids", lambda c: alone.append(c) or plain(c))
+    assert own.encode(texts + HARD) == lib.encode(texts + HARD, add_eos=True)
+    assert len(own.kept) > 700
+    assert all(len(c) > bpe.SHORT or any(x not in own.ids for x in c) for c in alone)
+
+
+@pytest.mark.parametrize("bits", [19, 4])
+def test_agendas_in_arrays_agree_with_plain_ones(monkeypatch, bits):
+    monkeypatch.setattr(bpe.Pairs, "BITS", bits)  # with few slots most pairs share one
+    own = bpe.Agenda(PATH)
+    words = [w for w in letters(500, 5) if all(c in own.ids for c in w)]
+    ids, counts = own.pairs.encode(own.pairs.symbols[[ord(c) for w in words for c in w]], bpe.np.array([len(w) for w in words]))
+    assert [x.tolist() for x in bpe.np.split(ids, counts.cumsum()[:-1])] == [list(own.chunk_ids(w)) for w in words]
+
+
+def test_ties_of_arrays_go_to_the_left():
+    rng = random.Random(6)
+    for _ in range(30):
+        rank = {c: 9.0 for c in "abc"} | {"".join(rng.choices("abc", k=rng.randint(2, 4))): float(rng.randint(0, 2)) for _ in range(12)}
+        own = bpe.Agenda.__new__(bpe.Agenda)
+        own.rank = rank
+        pairs, names = bpe.Pairs(rank, {p: i for i, p in enumerate(rank)}), list(rank)
+        words = ["".join(rng.choices("abc", k=rng.randint(1, 14))) for _ in range(100)]
+        ids, counts = pairs.encode(pairs.symbols[[ord(c) for w in words for c in w]], bpe.np.array([len(w) for w in words]))
+        assert [[names[i] for i in x] for x in bpe.np.split(ids, counts.cumsum()[:-1])] == [own.pieces(w) for w in words]
+
+
+def test_chunks_are_cut_as_the_pattern_says():
+    own = bpe.Agenda(PATH)
+    made = [own.lib.normalize(t) for t in HARD + noise(300, 7)]
+    codes, ends = [ord(c) for t in made for c in t], bpe.np.cumsum([len(t) for t in made])
+    cuts = [*own.cuts(made, bpe.np.array(codes, "uint32"), ends), len(codes)]
+    assert ["".join(map(chr, codes[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)] == [c for t in made for c in own.chunks.findall(t)]
+
+
+def test_a_wrong_merge_in_arrays_is_noticed():
+    own = bpe.Agenda(PATH)
+    texts = [" ".join(letters(40, k)) for k in range(20)]
+    pairs = own.pairs
+    pairs.rank[pairs.rank < pairs.none] = 0  # the leftmost pair first, whatever its score
+    with pytest.raises(ValueError, match="differ"):
+        own.encode(texts)
+
+
+def test_texts_without_chunks():
+    own = bpe.Agenda(PATH)
+    assert own.encode([]) == []
+    assert own.encode(["", ""]) == [[own.eos], [own.eos]]
+
+
 def test_kept_chunks_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_CHUNKS", 50)
     own, lib = bpe.Agenda(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
